@@ -1,9 +1,12 @@
 """All registered queries and their SQL."""
 
+from . import corpus_queries, edit_queries, table_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
