@@ -51,4 +51,6 @@ def bootstrap(df: DataFrame, by: list[str], value: str, rounds: int = 1000, seed
     weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     means = r.withColumn("__w", weight).groupBy(*by, "__round").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("__mean"))
     ends = order_stats(means, by, "__mean", {"lo": ("floor", 0.025), "hi": ("floor", 0.975)})
-    return df.groupBy(*by).agg(F.avg(value).alias("mean")).join(ends, by, "left") if by else df.agg(F.avg(value).alias("mean")).crossJoin(ends)
+    if by:
+        return df.groupBy(*by).agg(F.avg(value).alias("mean")).join(ends, by, "left")
+    return df.agg(F.avg(value).alias("mean")).select("mean", *[ends.select(c).scalar().alias(c) for c in ("lo", "hi")])

@@ -43,9 +43,8 @@ def capped(df: DataFrame, by: list[str], cap: int | Column, order: list) -> Data
 
 def quotas(df: DataFrame, by: list[str], total: int, least: int = 1) -> DataFrame:
     """(by, n, quota): proportional quotas, rounded half to even."""
-    n = df.groupBy(*by).agg(F.count("*").alias("n"))
-    every = df.agg(F.count("*").alias("__all"))
-    return n.crossJoin(F.broadcast(every)).select(*by, "n", F.greatest(F.lit(least), F.bround(F.lit(total) * F.col("n") / F.col("__all")).cast("int")).alias("quota"))  # one row
+    every = df.agg(F.count("*")).scalar()
+    return df.groupBy(*by).agg(F.count("*").alias("n")).select(*by, "n", F.greatest(F.lit(least), F.bround(F.lit(total) * F.col("n") / every).cast("int")).alias("quota"))
 
 
 def by_quota(df: DataFrame, by: list[str], total: int, key: str, seed: int) -> DataFrame:

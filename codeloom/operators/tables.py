@@ -101,8 +101,7 @@ def hysteresis(df: DataFrame, by: str, order: str, value: str, step: int, room:
 def share(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Sums by group, and their shares of all."""
     s = df.groupBy(*by).agg(F.sum(value).alias("total"))
-    every = s.agg(F.sum("total").alias("__all"))
-    return s.crossJoin(F.broadcast(every)).select(*by, "total", (F.col("total") / F.col("__all")).alias("share"))  # one row
+    return s.select(*by, "total", (F.col("total") / s.agg(F.sum("total")).scalar()).alias("share"))
 
 
 def breakdowns(df: DataFrame, dims: list[str], aggs: list[Column]) -> DataFrame:

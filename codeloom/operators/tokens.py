@@ -29,8 +29,8 @@ def blocks(docs: DataFrame, key: str, tokens: str, eos, size: int = 1024, keep_t
     b = both.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("toks"))
     if keep_tail:
         return b
-    total = p.agg(F.sum(F.size("toks")).alias("__n"))
-    return b.crossJoin(F.broadcast(total)).where((F.col("block") < F.floor((F.col("__n") - 1) / (size + 1))) & (F.size("toks") == size + 1)).drop("__n")  # one row
+    total = p.agg(F.sum(F.size("toks"))).scalar()
+    return b.where((F.col("block") < F.floor((total - 1) / (size + 1))) & (F.size("toks") == size + 1))
 
 
 def epoch_order(blocks_: DataFrame, seed: int, epoch: int) -> DataFrame:
