@@ -77,13 +77,13 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: DataFrame):
-    """One row: d1, d2, d3 by counts of counts; usual values where these are too few."""
-    n = counts.agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.expr("n1 / (n1 + 2 * n2)")
-    ok = F.expr("n1 > 0 and n2 > 0 and n3 > 0")
-    d = [F.least(F.lit(float(i)), F.greatest(F.lit(0.05), F.when(ok, i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(F.lit((0.5, 1.0, 1.5)[i - 1])))).alias(f"d{i}") for i in (1, 2, 3)]
-    return n.select(*d)
+def _discounts(counts: DataFrame) -> list[float]:
+    """The discounts of counts 1, 2 and 3 or more, by counts of counts; usual values where these are too few."""
+    n = counts.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first()
+    if min(n[:3]) == 0:
+        return [0.5, 1.0, 1.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(float(i), max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
 
 
 def model(counts: DataFrame) -> DataFrame:
@@ -93,8 +93,8 @@ def model(counts: DataFrame) -> DataFrame:
         tables[k] = tables[k + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << 6 * k) - 1)).alias("g")).agg(F.count("*").alias("n"))
     out, low = None, None
     for k in range(1, ORDER + 1):
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = tables[k].crossJoin(F.broadcast(_discounts(tables[k]))).withColumn("d", d).withColumn("ctx", F.shiftright("g", 6))  # one row of discounts
+        d1, d2, d3 = _discounts(tables[k])
+        t = tables[k].withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)).withColumn("ctx", F.shiftright("g", 6))
         ctx = t.groupBy("ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("cut"))
         t = t.join(ctx, "ctx").withColumn("own", (F.col("n") - F.col("d")) / F.col("total")).withColumn("rest", F.col("cut") / F.col("total"))
         if low is None:
@@ -134,15 +134,6 @@ def _table(name, shared):
     return _ready[name]
 
 
-def trained(trusted: DataFrame):
-    """(name, broadcast model) from a table with a column text."""
-    small_batches(trusted.sparkSession)
-    counts = written(gram_counts(trusted), "grams")
-    t = model(counts).toArrow()  # bounded: fewer than 2 * 64**4 rows
-    rows = tuple(t[c].to_numpy() for c in ("k", "g", "v"))
-    return uuid.uuid4().hex, trusted.sparkSession.sparkContext.broadcast(rows)
-
-
 def scores(docs: DataFrame, fitted) -> DataFrame:
     """(id, lang, n_bytes, bits): mean bits for each byte of each whole text, null if it is empty."""
     name, shared = fitted
@@ -192,9 +183,9 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     t = model(counts).toArrow()  # bounded: fewer than 2 * 64**4 rows
     fitted = uuid.uuid4().hex, spark.sparkContext.broadcast(tuple(t[c].to_numpy() for c in ("k", "g", "v")))
     scored = written(scores(src, fitted), "scores")
-    lim = limits(scored if alone else scored.join(good, "id", "left_semi"), quantile, margin)
-    every = lim.where("lang is null").select(F.col("limit").alias("any_limit"))
-    out = scored.join(lim.where("lang is not null"), "lang", "left").join(F.broadcast(every), how="left")  # `every` has one row
+    lim = written(limits(scored if alone else scored.join(good, "id", "left_semi"), quantile, margin), "limits")
+    every = lim.where("lang is null").first()
+    out = scored.join(lim.where("lang is not null"), "lang", "left")
     perplexity = F.pow(F.lit(2.0), F.col("bits"))
-    limit = F.coalesce("limit", "any_limit")
+    limit = F.coalesce("limit", F.lit(every["limit"] if every else None).cast("double"))
     return out.select(F.col("id").alias(key), "lang", "n_bytes", perplexity.alias("perplexity"), limit.alias("limit"), (F.col("bits").isNull() | (F.col("n_bytes") < LEAST_BYTES) | limit.isNull() | (perplexity <= limit)).alias("kept"))
