@@ -111,17 +111,15 @@ def model(counts: DataFrame) -> DataFrame:
 def dense(rows):
     """float32 log2-probabilities of all 64**4 n-grams, from the model's arrays (k, g, v)."""
     k, g, v = rows
-    p = np.full(64, 1 / 64)
+    p = np.full(64, 1 / 64, np.float32)
     for order in range(1, ORDER + 1):
+        rest = np.ones(64 ** (order - 1), np.float32)
+        rest[g[k == -order]] = v[k == -order]
         if order > 1:
-            rest = np.ones(64 ** (order - 1))
-            rest[g[k == -order]] = v[k == -order]
-            p = (rest[:, None] * np.tile(p.reshape(-1, 64), (64, 1)) if order == 2 else rest[:, None] * np.tile(p, 64).reshape(-1, 64)).reshape(-1)
-        else:
-            rest = v[k == -1]
-            p = p * (rest[0] if len(rest) else 1.0)
+            p = np.tile(p, 64)
+        p.reshape(-1, 64)[:] *= rest[:, None]
         p[g[k == order]] = v[k == order]
-    return np.log2(p).astype(np.float32)
+    return np.log2(p, out=p)
 
 
 _ready: dict[str, np.ndarray] = {}
