@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, edits, metrics, tables
+from ..operators import classify, edits, metrics, signals, tables
 from .registry import query
 
 #: (id, path, prefix, old, new, suffix), lines joined by |, no lines as an empty string.
@@ -169,3 +169,87 @@ def line_f1_scores(t, spark):
 def normalized_lines(t, spark):
     d = spark.createDataFrame([(1, "x  \n  y \n\n"), (2, "a\n"), (3, "")], "id int, s string")
     return d.select("id", F.array_join(T.trim_tail(T.lines(F.col("s"))), "|").alias("lines"))
+
+
+@query("SELECT * FROM (VALUES (1, 'loop_to_apply'), (2, 'pipe_gain'), (3, 'styler_whitespace'), (4, 'docs_file'), (5, 'other_code_edit'), (6, 'TF_symbol_fix')) AS v(id, label)")
+def modernization_labels(t, spark):
+    rows = [(1, "R/a.R", "for (i in x) f(i)", "purrr::map(x, f)"), (2, "R/a.R", "f(x)", "x |> f()"), (3, "R/a.R", "  a", "a"), (4, "NEWS.md", "a", "b"), (5, "R/a.R", "a", "b"), (6, "R/a.R", "x = T", "x = TRUE")]
+    d = spark.createDataFrame(rows, "id int, path string, o string, n string").withColumn("old", F.array("o")).withColumn("new", F.array("n"))
+    return signals.modernization(d, "old", "new", "path").select("id", F.col("primary").alias("label"))
+
+
+@query("SELECT * FROM (VALUES ('library_call', 2, 1), ('paste_any', 1, 1), ('paste_sep_empty', 1, 1), ('superassign', 1, 1)) AS v(signal, files, groups)")
+def signal_prevalence(t, spark):
+    d = spark.createDataFrame([("p", "library(x)\nz <<- 1"), ("p", 'library(y); paste(a, sep = "")'), ("q", "x <- 1")], "pkg string, src string")
+    return signals.prevalence(d, "src", "pkg").select("signal", F.col("files").cast("int").alias("files"), F.col("groups").cast("int").alias("groups"))
+
+
+@query("SELECT * FROM (VALUES (1, 'lstlisting', 'x <- 1'), (1, 'verbatim', 'y'), (2, 'sweave', 'z')) AS v(id, kind, block)")
+def tex_code_blocks(t, spark):
+    b = "\\"
+    rows = [(1, f"{b}begin{{lstlisting}}[language=R]x <- 1{b}end{{lstlisting}} {b}begin{{verbatim}}y{b}end{{verbatim}}"), (2, "<<a>>=\nz\n@\n"), (3, "none")]
+    return signals.tex_blocks(spark.createDataFrame(rows, "id int, tex string"), "tex", 1).select("id", "kind", "block")
+
+
+@query("SELECT * FROM (VALUES ('inst/doc/a.R', 'r_rendered'), ('R/a.R', 'R'), ('man/a.Rd', 'Rd'), ('vignettes/a.Rmd', 'rmd_src'), ('src/a.c', 'C_src'), ('inst/a.h', 'C_elsewhere'), ('DESCRIPTION', 'meta'), ('x.bin', 'other_text')) AS v(path, bucket)")
+def composition_buckets(t, spark):
+    d = spark.createDataFrame([(p,) for p in ("inst/doc/a.R", "R/a.R", "man/a.Rd", "vignettes/a.Rmd", "src/a.c", "inst/a.h", "DESCRIPTION", "x.bin")], "path string")
+    return d.select("path", signals.file_bucket(F.col("path")).alias("bucket"))
+
+
+@query("SELECT * FROM (VALUES (1, 'f <- 1', '# a|# b', 'g()')) AS v(id, prefix, region_new, suffix)")
+def comment_reversal(t, spark):
+    d = spark.createDataFrame([(1, ["f <- 1", "# a", "# b"], ["g()"]), (2, ["# only"], ["g()"]), (3, ["f"], ["g()"])], "id int, prefix array<string>, region_new array<string>")
+    r = signals.reversed_comments(d)
+    return r.select("id", *[F.array_join(c, "|").alias(c) for c in ("prefix", "region_new", "suffix")])
+
+
+@query("SELECT * FROM (VALUES (1, 'f(\"xxx\", ''x'')'), (2, 'a'), (3, '\"xxx\"b')) AS v(id, src)")
+def blanked_strings(t, spark):
+    d = spark.createDataFrame([(1, "f(\"a(b\", 'c')"), (2, "a"), (3, '"\\"x"b')], "id int, s string")
+    return d.select("id", signals.without_strings(F.col("s")).alias("src"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a|b'), (2, ''), (3, 'x')) AS v(id, lines)")
+def target_parsing(t, spark):
+    d = spark.createDataFrame([(1, "\na\nb\n>>>>>>> UPDATED"), (2, "=======\n \n"), (3, "<|user_cursor|>x\r\n")], "id int, s string")
+    return d.select("id", F.array_join(signals.parsed_target(F.col("s")), "|").alias("lines"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a' || chr(10), 'b'), (2, NULL, NULL), (3, 'p' || chr(10), 'x' || chr(10) || 'y')) AS v(id, prompt, target)")
+def ended_rows(t, spark):
+    d = spark.createDataFrame([(1, "a\n<|end|>\nb\n<|end|>"), (2, "none"), (3, "p\n<|end|>\nx\ny")], "id int, s string")
+    p, g = signals.split_ended(F.col("s"))
+    return d.select("id", p.alias("prompt"), g.alias("target"))
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true), (5, false), (6, true)) AS v(id, ok)")
+def lint_fix_applied(t, spark):
+    rows = [(1, "true_false_symbol", "x = T", "x = TRUE", None, "T"), (2, "true_false_symbol", "x = T", "x = T", None, "T"), (3, "paste0_sep", "paste(a, sep='')", "paste0(a)", None, None), (4, "sapply_vapply", "sapply(x, f)", "vapply(x, f, logical(1))", "logical(1)", None), (5, "seq_safety", "1:length(x)", "1:length(x)", None, None), (6, "other", "a", "b", None, None)]
+    d = spark.createDataFrame(rows, "id int, rule string, old string, new string, wanted string, given string")
+    return d.select("id", signals.fix_applied(*[F.col(c) for c in ("rule", "old", "new", "wanted", "given")]).alias("ok"))
+
+
+@query("SELECT lang AS area, CAST(count(*) AS BIGINT) AS n, round(sum(len(string_split(text, ' '))) / sum(strlen(text)), 6) AS ratio, round(sum(len(string_split(text, ' '))) / sum(strlen(text)) * sum(n_chars), 3) AS estimate FROM documents GROUP BY lang")
+def stratified_token_estimate(t, spark):
+    d = t("documents").select(F.col("lang").alias("area"), F.size(F.split("text", " ")).alias("tokens"), F.octet_length("text").alias("bytes"), "n_chars")
+    e = signals.token_estimate(d, d.groupBy("area").agg(F.sum("n_chars").alias("bytes")), "area")
+    return e.select("area", "n", F.round("ratio", 6).alias("ratio"), F.round("estimate", 3).alias("estimate"))
+
+
+@query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS rate, round(avg(l_tax), 6) AS value FROM lineitem GROUP BY l_returnflag")
+def cell_collapse(t, spark):
+    l = t("lineitem").withColumn("hit", (F.col("l_discount") > 0.05).cast("int"))
+    return signals.collapsed(l, ["l_returnflag"], "l_linestatus", "hit", "l_tax").select("l_returnflag", "n", F.round("rate", 6).alias("rate"), F.round("value", 6).alias("value"))
+
+
+@query("SELECT page_id, len(list_distinct(regexp_extract_all(html, 'github[.]com/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)', 1))) AS n_repos FROM pages")
+def page_repo_links(t, spark):
+    return t("pages").select("page_id", F.size(signals.repo_links(F.col("html"))).cast("bigint").alias("n_repos"))
+
+
+@query("SELECT * FROM (VALUES (1, 'permissive'), (2, 'excluded-default'), (3, 'unknown'), (4, 'excluded-default')) AS v(id, verdict)")
+def page_license_cell(t, spark):
+    cell = lambda s: f"<tr><td>License:</td> <td class='x'>{s}</td></tr>"
+    d = spark.createDataFrame([(1, cell("CC BY 4.0")), (2, cell("non-exclusive")), (3, cell("CC BY-NC 4.0")), (4, "no cell")], "id int, html string")
+    return d.select("id", signals.page_license(F.col("html")).alias("verdict"))
