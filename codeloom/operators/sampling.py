@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import prefix_sums
 
 
 def holdout_keys(df: DataFrame, key: str, share: float, seed: int, by: list[str] | None = None, rounding: str = "half_even", least: int = 1) -> DataFrame:
@@ -64,11 +65,11 @@ def fill_from(first: DataFrame, rest: DataFrame, key: str, n: int, seed: int) ->
     return both.orderBy("__p", T.order_key(F.col(key), seed), key).limit(n).drop("__p")
 
 
-def half(df: DataFrame, key: str, seed: int, order: str) -> DataFrame:
+def half(df: DataFrame, key: str, seed: int, order_by: str) -> DataFrame:
     """Half of the rows (rounded down) by hash order, in their own order."""
-    w = Window.partitionBy(F.lit(1)).orderBy(T.order_key(F.col(key), seed), key)
-    every = df.select(key).withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    return df.join(every.where("__r <= floor(__n / 2)").select(key), key, "left_semi").orderBy(order)
+    order = T.order_key(F.col(key), seed)
+    ranked = prefix_sums(df, [order, key], F.lit(1), F.substring(order, 1, 3), "__r")
+    return ranked.where(F.col("__r") < F.floor(df.agg(F.count("*")).scalar() / 2)).drop("__r").orderBy(order_by)
 
 
 def round_robin(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -92,9 +93,8 @@ def owner_capped(df: DataFrame, owner: str, good: Column, order: list, cap: int,
 
 
 def shard(df: DataFrame, key: str, n: int) -> DataFrame:
-    """df with `shard`: the row's rank by key, modulo n."""
-    w = Window.partitionBy(F.lit(1)).orderBy(key)
-    return df.withColumn("shard", F.pmod(F.row_number().over(w) - 1, F.lit(n)))
+    """df with `shard`: the row's rank by a numeric key, modulo n."""
+    return prefix_sums(df, [key], F.lit(1), F.floor(F.col(key) / 4096), "__r").withColumn("shard", F.pmod(F.col("__r"), F.lit(n)).cast("int")).drop("__r")
 
 
 def weighted_choice(key: Column, seed, options: list[tuple[str, float]]) -> Column:

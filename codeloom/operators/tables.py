@@ -91,6 +91,19 @@ def before_counts(df: DataFrame, by: list[str], order: list[str], mask: Column)
     return F.coalesce(F.sum(mask.cast("bigint")).over(w), F.lit(0).cast("bigint"))
 
 
+def prefix_sums(df: DataFrame, order: list, value: Column, bucket: Column, out: str = "before") -> DataFrame:
+    """df with the sum of a value over all rows before, in one order over the whole table.
+
+    bucket must rise with the order; its sums are added up first, a row for each bucket, so that no
+    task sees more rows than one bucket has.
+    """
+    d = df.withColumn("__b", bucket).withColumn("__v", value)
+    sums = d.groupBy("__b").agg(F.sum("__v").alias("__t"))
+    base = sums.select("__b", (F.sum("__t").over(Window.orderBy("__b")) - F.col("__t")).alias("__base"))
+    inside = F.sum("__v").over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__v")
+    return d.withColumn("__in", inside).join(base, "__b").withColumn(out, F.col("__base") + F.col("__in")).drop("__b", "__v", "__t", "__base", "__in")
+
+
 def hysteresis(df: DataFrame, by: str, order: str, value: str, step: int, room: int) -> DataFrame:
     """df with `anchor`: it moves on in whole steps, only as far as the value needs room, and never back."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import prefix_sums
 
 
 def placed(docs: DataFrame, key: str, tokens: str, eos) -> DataFrame:
@@ -14,11 +15,8 @@ def placed(docs: DataFrame, key: str, tokens: str, eos) -> DataFrame:
     Totals of key ranges are summed first, so no task sees all documents.
     """
     d = docs.select(key, F.concat(F.coalesce(F.col(tokens), F.array().cast(docs.schema[tokens].dataType)), F.array(F.lit(eos))).alias("toks"))
-    sized = d.select(key, F.size("toks").alias("n"), F.floor(F.col(key) / 4096).alias("__range"))
-    sums = sized.groupBy("__range").agg(F.sum("n").alias("t"))
-    base = sums.select("__range", (F.sum("t").over(Window.partitionBy(F.lit(1)).orderBy("__range")) - F.col("t")).alias("base"))
-    inside = sized.withColumn("upto", F.sum("n").over(Window.partitionBy("__range").orderBy(key)) - F.col("n"))
-    return d.join(inside.join(base, "__range").select(key, (F.col("base") + F.col("upto")).alias("start")), key)
+    start = prefix_sums(d.select(key, F.size("toks").alias("n")), [key], F.col("n"), F.floor(F.col(key) / 4096), "start")
+    return d.join(start.drop("n"), key)
 
 
 def blocks(docs: DataFrame, key: str, tokens: str, eos, size: int = 1024, keep_tail: bool = False) -> DataFrame:

@@ -210,7 +210,7 @@ MASK = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 429
 @query(f"SELECT doc_id, {MASK} < 0.1 AS dose_10, {MASK} < 0.2 AS dose_20, {MASK} < 0.35 AS dose_35, CAST(coalesce(sum(CASE WHEN {MASK} < 0.2 THEN 1 ELSE 0 END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM documents")
 def prefix_count_mask(t, spark):
     d = sampling.nested_doses(t("documents").select("doc_id"), "doc_id", [0.1, 0.2, 0.35])
-    return d.withColumn("before", tables.before_counts(d, [], ["doc_id"], F.col("dose_20")))
+    return tables.prefix_sums(d, ["doc_id"], F.col("dose_20").cast("bigint"), F.floor(F.col("doc_id") / 4096))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT DISTINCT l.doc_id FROM l JOIN benchmark b ON trim(l.line) = trim(b.text)")
