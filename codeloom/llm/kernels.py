@@ -127,6 +127,13 @@ def gram_hashes(w, bounds, n):
     return mix((p[at + n] - p[at]) * down[at]), at, text
 
 
+def sequence_hashes(w, bounds):
+    """A hash of each text's whole sequence of words."""
+    up, down = _WORDS.get(len(w) + 1)
+    p = np.concatenate([np.zeros(1, _U), np.cumsum(w * up[: len(w)], dtype=_U)])
+    return mix((p[bounds[1:]] - p[bounds[:-1]]) * down[bounds[:-1]] + np.diff(bounds).astype(_U))
+
+
 def repeats(key):
     """Boolean per entry: the same key occurs elsewhere too."""
     order = np.argsort(key, kind="stable")

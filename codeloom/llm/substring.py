@@ -2,8 +2,8 @@
 
 Seeds: of the 13 consecutive 8-word grams in every 20-word window the one of smallest hash (the
 first, of equals) is its anchor, so equal windows have equal anchors at equal places; about a
-seventh of all positions are anchors. Anchors are joined on their hash, and only those that occur
-twice or more go on. Extension: each seed is extended both ways to the full windows that it
+seventh of all positions are anchors. Anchors are joined on their hash, and only those that two
+different texts hold, or one text twice, go on. Extension: each seed is extended both ways to the full windows that it
 anchors, all occurrences of a seed at once and one row for each, never in pairs; windows that agree
 over the whole threshold length are repeats. Adjacent repeated windows merge into maximal repeats.
 Windows are compared by 96-bit hashes.
@@ -42,7 +42,10 @@ def _lowest(h, at, text, length):
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(hash, id, pos): the anchors of all windows, each position once; pos counts words from 0."""
+    """(hash, whole, twice, id, pos): the anchors of all windows, each position once; pos counts words from 0.
+
+    whole is a hash of the text's whole sequence of words, twice tells that the text has the anchor again.
+    """
 
     def run(batches):
         for batch in batches:
@@ -53,14 +56,27 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                 a, _ = _lowest(h, start, text, length)
                 a = np.unique(a)
                 t = np.searchsorted(b, a, "right") - 1
-                where = np.searchsorted(start, a)
-                yield pa.RecordBatch.from_arrays([pa.array(h[where].view(np.int64)), pa.array(ids[at + t]), pa.array((a - b[t]).astype(np.int32))], ["hash", "id", "pos"])
+                seed = h[np.searchsorted(start, a)]
+                twice = K.repeats(K.mix(seed + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(K.sequence_hashes(w, b)[t].view(np.int64)), pa.array(twice), pa.array(ids[at + t]), pa.array((a - b[t]).astype(np.int32))], ["hash", "whole", "twice", "id", "pos"])
+
+    return docs.mapInArrow(run, "hash bigint, whole bigint, twice boolean, id bigint, pos int")
 
-    return docs.mapInArrow(run, "hash bigint, id bigint, pos int")
+
+def _windows(w, b, length):
+    """(h1, h2, start word, text, again): all windows, and whether the same text has the window earlier."""
+    g, s, t = K.gram_hashes(w, b, length)
+    g2, _, _ = K.gram_hashes(K.mix(w + np.uint64(0x5851F42D4C957F2D)), b, length)
+    g2 >>= np.uint64(32)
+    order = np.lexsort((s, g2, g, t))
+    again = np.zeros(len(g), bool)
+    x, y = order[1:], order[:-1]
+    again[x] = (g[x] == g[y]) & (g2[x] == g2[y]) & (t[x] == t[y])
+    return g, g2, s, t, again
 
 
 def windows(marked: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, id, pos) of the windows around the seeds of each row (id, text, seeds: positions)."""
+    """(h1, rest, id): the windows around the seeds of each row (id, text, seeds), each once; rest is 32 bits of hash and the place."""
 
     def run(batches):
         for batch in batches:
@@ -72,18 +88,17 @@ def windows(marked: DataFrame, length: int) -> DataFrame:
                 seed = np.zeros(len(w), bool)
                 for i in range(at, to):
                     seed[b[i - at] + seeds[i].values.to_numpy()] = True
-                s = s[seed[a]]
-                g, gs, _ = K.gram_hashes(w, b, length)
-                g2, _, _ = K.gram_hashes(K.mix(w + np.uint64(0x5851F42D4C957F2D)), b, length)
-                where = np.searchsorted(gs, s)
-                t = np.searchsorted(b, s, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(g[where].view(np.int64)), pa.array((g2[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[at + t]), pa.array((s - b[t]).astype(np.int32))], ["h1", "h2", "id", "pos"])
+                g, g2, starts, t, again = _windows(w, b, length)
+                pick = np.searchsorted(starts, s[seed[a]])
+                pick = pick[~again[pick]]
+                rest = (g2[pick] << np.uint64(32)).view(np.int64) | (starts[pick] - b[t[pick]])
+                yield pa.RecordBatch.from_arrays([pa.array(g[pick].view(np.int64)), pa.array(rest), pa.array(ids[at + t[pick]])], ["h1", "rest", "id"])
 
-    return marked.select("id", "text", "seeds").mapInArrow(run, "h1 bigint, h2 int, id bigint, pos int")
+    return marked.select("id", "text", "seeds").mapInArrow(run, "h1 bigint, rest bigint, id bigint")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    """(id, n_words, sha) of the whole texts."""
+    """(id, n_words, sha) of the whole texts, as words joined by single spaces."""
 
     def run(batches):
         for batch in batches:
@@ -94,20 +109,59 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n_words bigint, sha string")
 
 
+CUT = "id bigint, n_removed bigint, kept string, spans array<array<bigint>>"
+
+
 def _cut(marked: DataFrame, length: int) -> DataFrame:
-    """(id, n_removed, kept, spans) of rows (id, text, bad: starts of repeated windows)."""
+    """(id, n_removed, kept, spans) of rows (id, text, bad: starts of windows that other texts have earlier) that lose words."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, bad in zip(K.column(batch, "text"), K.column(batch, "bad"), strict=True):
-                words = text.as_py().encode("utf-8", "surrogatepass").split()
-                gone = K.covered(np.array(bad.as_py(), np.int64), length, len(words))
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                out.append((int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode("utf-8", "surrogatepass"), edge.reshape(-1, 2).tolist()))
-            yield pa.RecordBatch.from_arrays([K.column(batch, "id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.list_(pa.list_(pa.int64())))], ["id", "n_removed", "kept", "spans"])
+            ids, out = [], []
+            for at, to, data, off in K.slices(batch):
+                w, _, _, b = K.word_hashes(data, off)
+                _, _, s, t, again = _windows(w, b, length)
+                s, t = s[again], t[again]
+                for i in range(at, to):
+                    bad, k = K.column(batch, "bad")[i], i - at
+                    starts = s[t == k] - b[k]
+                    if bad.is_valid:
+                        starts = np.concatenate([starts, bad.values.to_numpy()])
+                    if not len(starts):
+                        continue
+                    gone = K.covered(starts, length, int(b[k + 1] - b[k]))
+                    words = data[off[k] : off[k + 1]].tobytes().split()
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                    ids.append(i)
+                    out.append((int(gone.sum()), b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g]).decode("utf-8", "replace"), edge.reshape(-1, 2).tolist()))
+            yield pa.RecordBatch.from_arrays([K.column(batch, "id").take(pa.array(ids, pa.int64())), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.list_(pa.list_(pa.int64())))], ["id", "n_removed", "kept", "spans"])
+
+    return marked.select("id", "text", "bad").mapInArrow(run, CUT)
+
+
+def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("id is not null")
 
-    return marked.select("id", "text", "bad").mapInArrow(run, "id bigint, n_removed bigint, kept string, spans array<array<bigint>>")
+
+def _repeated(src: DataFrame, plain: DataFrame, length: int) -> DataFrame:
+    """CUT for all texts that lose words. plain: _plain of src.
+
+    Of texts of equal words only the first takes part in the join; the later ones lose all words.
+    """
+    first = plain.where(F.col("n_words") >= length).groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    copies = plain.join(first, "sha").where("id <> first").groupBy("id").agg(F.max("n_words").alias("n_removed"))
+    a = anchors(src, length)
+    seeds = a.groupBy("hash").agg(F.min("whole").alias("x"), F.max("whole").alias("y"), F.max("twice").alias("twice")).where("x <> y or twice").select("hash")
+    marks = a.select("hash", "id", "pos").join(seeds, "hash", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("seeds")).join(copies.select("id"), "id", "left_anti")
+    marked = written(src.join(marks, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("seeds").alias("seeds")), "marked")
+    win = windows(marked, length)
+    high = F.shiftright("rest", 32).alias("h2")
+    firsts = win.groupBy("h1", high).agg(F.min("id").alias("f"), F.max("id").alias("l")).where("f <> l").select("h1", "h2", "f")
+    bad = win.join(firsts, (win["h1"] == firsts["h1"]) & (F.shiftright(win["rest"], 32) == firsts["h2"])).where("id <> f").groupBy("id").agg(F.collect_list(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bad"))
+    cut = _cut(marked.drop("seeds").join(bad, "id", "left"), length)
+    none = F.array(F.array(F.lit(0).cast("long"), F.col("n_removed")))
+    return cut.union(copies.select("id", "n_removed", F.lit(""), none))
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 20) -> DataFrame:
@@ -122,16 +176,8 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", length: i
     """
     if length < GRAM + 4:
         raise ValueError(f"length must be {GRAM + 4} or more")
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    a = anchors(src, length)
-    seeds = a.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    marks = a.join(seeds, "hash", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("seeds"))
-    marked = written(src.join(marks, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("seeds").alias("seeds")), "marked")
-    win = windows(marked, length)
-    first = win.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    bad = win.join(first, ["h1", "h2"]).where("id <> f.id or pos <> f.pos").groupBy("id").agg(F.collect_list("pos").alias("bad"))
-    return _cut(marked.drop("seeds").join(bad, "id"), length).withColumnRenamed("id", key)
+    src = _source(docs, text, key)
+    return _repeated(src, written(_plain(src), "plain"), length).withColumnRenamed("id", key)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 20) -> DataFrame:
@@ -141,9 +187,9 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
     return docs.join(cut, F.col(key) == F.col("__key"), "left").select(*cols)
 
 
-def op8(docs: DataFrame) -> DataFrame:
+def op8(docs: DataFrame, length: int = 20) -> DataFrame:
     """The contract: windows of 20 words; a row for each document."""
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("id is not null")
-    cut = repeated(docs).select(F.col("doc_id").alias("id"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-    return _plain(src).join(cut, "id", "left").select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    src = _source(docs, "text", "doc_id")
+    plain = written(_plain(src), "plain")
+    cut = _repeated(src, plain, length).select("id", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return plain.join(cut, "id", "left").select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
