@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import small_batches
 
-#: A worker forgets its words beyond this number, so that its memory stays bounded.
-CACHE_WORDS = 400_000
+#: A worker forgets its words, and its pre-split pieces, beyond these numbers, so that its memory stays bounded.
+CACHE_WORDS, CACHE_PIECES = 400_000, 600_000
 
 ASCII = re.compile("\n?[!-~]*")
 #: How the lower-casing word tokenizer splits printable ASCII (fixed values).
@@ -73,6 +73,9 @@ class Automaton:
                     self.token.append(-1)
                 at = self.trie[at][x]
             self.token[at] = t
+        by_spelling = {x: t for t, x in self.spelling.items()}
+        #: Token and symbol -> the token that is one symbol longer.
+        self.longer = {by_spelling[x[:-1]] << 20 | x[-1]: t for t, x in self.spelling.items() if x[:-1] in by_spelling}
         self.table: dict[int, bool] = {}
 
     def _spell(self, t: int) -> tuple[int, ...]:
@@ -125,8 +128,23 @@ class Automaton:
         """Token ids of one word, given as base symbols."""
         n = len(symbols)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        trie, token, table = self.trie, self.token, self.table
+        trie, token, table, longer = self.trie, self.token, self.table, self.longer
+        before, start = -1, 0
         for end in range(1, n + 1):
+            # most often the last token grows by a symbol; the state is unique, so if that is a path it is the path
+            t = longer.get(before << 20 | symbols[end - 1]) if before >= 0 else None
+            if t is not None:
+                if not start:
+                    last[end] = before = t
+                    continue
+                k = last[start] << 20 | t
+                ok = table.get(k)
+                if ok is None:
+                    ok = self.arc(last[start], t)
+                if ok:
+                    last[end] = before = t
+                    back[end] = start
+                    continue
             at, i = 0, end
             while i:
                 at = trie[at].get(symbols[i - 1])
@@ -135,12 +153,17 @@ class Automaton:
                 i -= 1
                 t = token[at]
                 if t >= 0:
-                    p = last[i]
-                    if p < 0 and i:
-                        continue
-                    if not i or (table.get(p << 20 | t) if (p << 20 | t) in table else self.arc(p, t)):
+                    if not i:
+                        last[end], back[end] = t, 0
+                        break
+                    k = last[i] << 20 | t
+                    ok = table.get(k)
+                    if ok is None:
+                        ok = self.arc(last[i], t)
+                    if ok:
                         last[end], back[end] = t, i
                         break
+            before, start = last[end], back[end]
         out = []
         at = n
         while at:
@@ -177,7 +200,9 @@ class Coder:
         probe = "\nThey'll've don't'S #12..ab'r3_x"  # printable ASCII can skip the library if it splits as ASCII_PIECES does
         norm = self.lib.normalizer.normalize_str(probe) if self.lib.normalizer else probe
         self.plain_ascii = [x for x, _ in self.lib.pre_tokenizer.pre_tokenize_str(norm)] == ASCII_PIECES.findall(probe.lower())
-        self.pieces: dict[str, list[int]] = {}
+        self.id_bytes = {i: i.to_bytes(4, "little") for i in self.labels}
+        self.label_bytes = {i: (" " + t).encode("utf-8") for i, t in self.labels.items()}
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
 
@@ -189,20 +214,23 @@ class Coder:
         return [piece for piece, _ in self.lib.pre_tokenizer.pre_tokenize_str(norm)]
 
     def _new(self, word: str) -> None:
-        ids = []
+        ids, out = b"", b""
         for piece in self._split(word):
             got = self.pieces.get(piece)
             if got is None:
-                got = self.pieces[piece] = self.auto.word(piece)
-            ids += got
-        self.words[word] = np.array(ids, "<u4").tobytes()
-        self.decoded[word] = "".join(" " + self.labels[i] for i in ids).encode("utf-8")
+                path = self.auto.word(piece)
+                got = self.pieces[piece] = b"".join(map(self.id_bytes.__getitem__, path)), b"".join(map(self.label_bytes.__getitem__, path))
+            ids += got[0]
+            out += got[1]
+        self.words[word] = ids
+        self.decoded[word] = out
 
     def code(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian uint32, the decoded text in UTF-8)."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
             self.decoded.clear()
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
             self.auto.table.clear()
         if self.cut is None or "<|" not in text or not self.cut.search(text):
