@@ -9,9 +9,11 @@ that distance meet under some key. At a similarity of 0.85 a pair is missed with
 
 No group of copies is expanded into pairs. Equal sets are one class. Each bucket first links its
 members to one hub; what these links connect is not compared again. Only buckets that still hold
-several components go on: once more with hubs drawn by hash, then all remaining pairs of different
-components, hot buckets in blocks of bounded size. So every link between different components is
-found, and no task gathers an unbounded bucket.
+several components go on: once more with hubs drawn by hash, then in canopies, what such buckets
+connect. A canopy is dealt into blocks of bounded size, and each pair of blocks compares its members
+of different components, on whole signatures and then on full sets, and gives only links that join
+components. So every link between different components is found, no pairs are written out, and no
+task gathers an unbounded group.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from .common import components, small_batches, written
 SYMBOLS, CHUNKS = 32, 8
 WIDTH = SYMBOLS // CHUNKS
 DISTANCE = CHUNKS * 2 - 1
-SMALL_BUCKET, BLOCK = 32, 256
+SMALL_BUCKET = 32
+#: A block of a canopy holds about so many members or bytes of text.
+BLOCK, BLOCK_BYTES = 512, 4_000_000
 _rng = np.random.default_rng(411)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -107,30 +111,68 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _members_pairs(members: list) -> list:
-    """Pairs of one small bucket or block pair that lie in different components and within DISTANCE."""
-    n = len(members)
-    ids = np.array([m["id"] for m in members])
-    comp = np.array([m["comp"] for m in members])
-    side = np.array([m["side"] for m in members])
-    sig = np.frombuffer(b"".join(bytes(m["sig"]) for m in members), np.uint16).reshape(n, SYMBOLS)
+def _links(members, shingle: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join different components among the members of one block pair: no more than there are members."""
+    ids, comp, side = (members.field(x).to_numpy() for x in ("id", "comp", "side"))
+    n = len(ids)
+    sig = np.frombuffer(b"".join(members.field("sig").to_pylist()), np.uint16).reshape(n, SYMBOLS)
+    same = np.zeros((n, n), np.uint8)
+    for k in range(SYMBOLS):
+        same += sig[:, None, k] == sig[None, :, k]
+    near = (same >= SYMBOLS - DISTANCE) & (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+    near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    if not len(i):
+        return []
+    used = np.unique(np.concatenate([i, j]))
+    place = np.zeros(n, np.int64)
+    place[used] = np.arange(len(used))
+    raw = [t.encode("utf-8", "surrogatepass") for t in members.field("text").take(pa.array(used)).to_pylist()]
+    h, b = K.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64), shingle)
+    i, j, size = place[i], place[j], np.diff(b)
+    if len(i) <= 4 * len(used):
+        both = np.array([len(np.intersect1d(h[b[x] : b[x + 1]], h[b[y] : b[y + 1]], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+    else:
+        _, code, count = np.unique(h, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(used)), size)
+        shared = count[code] > 1  # what only one member holds is in no intersection
+        column = np.cumsum(count > 1) - 1
+        code, owner = column[code[shared]], owner[shared]
+        every = np.zeros((len(used), len(used)), np.float32)
+        for at in range(0, int((count > 1).sum()), 4096):
+            part = (code >= at) & (code < at + 4096)
+            m = np.zeros((len(used), 4096), np.float32)
+            m[owner[part], code[part] - at] = 1
+            every += m @ m.T
+        both = every[i, j].astype(np.int64)
+    ok = 100 * both >= percent * (size[i] + size[j] - both)
+    root = {int(c): int(c) for c in comp[used]}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     out = []
-    for i in range(n):
-        far = (sig[i + 1 :] != sig[i]).sum(1)
-        ok = np.flatnonzero((far <= DISTANCE) & (comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2))) + i + 1
-        out += [(int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[ok]]
+    for x, y in zip(used[i[ok]].tolist(), used[j[ok]].tolist(), strict=True):
+        u, v = find(int(comp[x])), find(int(comp[y]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((int(ids[x]), int(ids[y])))
     return out
 
 
-def _pairs_of(groups: DataFrame) -> DataFrame:
-    """groups: rows with an array of bounded size of (id, comp, side, sig); out: distinct pairs (a, b)."""
+def _joining(groups: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """groups: rows with an array `members` of bounded size of (id, comp, side, sig, text); out: links (a, b)."""
 
     def run(batches):
         for batch in batches:
-            found = [p for g in K.column(batch, "members").to_pylist() for p in _members_pairs(g)]
+            col = K.column(batch, "members")
+            found = [p for r in range(len(batch)) for p in _links(col[r].values, shingle, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return groups.select("members").mapInArrow(run, "a bigint, b bigint").distinct()
+    return groups.select("members").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -162,25 +204,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     edges = written(confirmed(tried, texts, shingle, percent), "links")
     comp = written(components(edges), "components")
 
-    mixed = _mixed(buckets, comp, SMALL_BUCKET)
+    mixed = written(_mixed(buckets, comp, SMALL_BUCKET), "mixed")
     if not mixed.isEmpty():
         drawn = mixed.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("drawn"))
         more = mixed.join(drawn, "key").where("id <> drawn").select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct()
         edges = written(edges.union(confirmed(more, texts, shingle, percent)), "links")
         comp = written(components(edges), "components")
 
-    rest = _mixed(buckets, comp, 2).join(classes.select("id", "sig"), "id")
-    rest = written(rest, "rest")
+    rest = written(_mixed(buckets, comp, 2), "rest")
     if not rest.isEmpty():
-        member = F.struct("id", "comp", F.lit(2).alias("side"), "sig")
-        few = rest.where(f"n <= {SMALL_BUCKET}").groupBy("key").agg(F.collect_list(member).alias("members"))
-        pairs = _pairs_of(few)
-        hot = rest.where(f"n > {SMALL_BUCKET}")
-        if not hot.isEmpty():
-            blocks = hot.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), F.struct("id", "comp", F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1).alias("side"), "sig").alias("m"))
-            pairs = pairs.union(_pairs_of(dealt.groupBy("key", "i", "j").agg(F.collect_list("m").alias("members")))).distinct()
-        edges = written(edges.union(confirmed(pairs.join(tried, ["a", "b"], "left_anti"), texts, shingle, percent)), "links")
+        head = rest.groupBy("key").agg(F.min("id").alias("a"))
+        canopy = written(components(rest.join(head, "key").select("a", F.col("id").alias("b"))), "canopies")
+        member = rest.groupBy("id").agg(F.first("comp").alias("comp")).join(canopy, "id").join(classes.select("id", "sig"), "id").join(texts, "id")
+        sizes = member.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+        dealt = member.join(sizes, "component").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1)
+        groups = dealt.groupBy("component", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("id", "comp", side.alias("side"), "sig", "text")).alias("members"))
+        edges = written(edges.union(_joining(groups, shingle, percent)), "links")
         comp = written(components(edges), "components")
     of_set = classes.join(comp, "id", "left").select("set_key", F.coalesce("component", "id").alias("c"))
     out = sk.drop("sig").join(of_set, "set_key", "left").select("id", "n_shingles", "set_key", F.coalesce("c", "id").alias("component_id"))
