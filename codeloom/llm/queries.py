@@ -13,7 +13,7 @@ def op1_bpe_round_trip(spark, sf_dir):
 
 
 def op2_quality_classifier(spark, sf_dir):
-    return quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_lm.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_quality_rules(spark, sf_dir):

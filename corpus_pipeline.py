@@ -21,7 +21,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is over their language's limit go."""
-    judged = quality_lm.classify(docs, table(spark, sf_dir, "labels"))
+    judged = quality_lm.op2(docs, table(spark, sf_dir, "labels"))
     return without(docs, judged.where("not kept"))
 
 

@@ -303,6 +303,18 @@ def test_quality_model(spark, docs, odd, nothing):
     assert quality_lm.classify(nothing, labels).count() == 0
 
 
+def test_quality_verdict_catches_toxic_and_junk(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality_lm.op2(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").collect()
+    clean = [r.kept for r in got if r.quality == 1 and not r.toxic]
+    toxic = [r.kept for r in got if r.quality == 1 and r.toxic]
+    junk = [r.kept for r in got if r.quality == 0]
+    assert len(clean) - sum(clean) <= 0.01 * len(clean)
+    assert len(toxic) - sum(toxic) >= 0.6 * len(toxic)
+    assert len(junk) - sum(junk) >= 0.9 * len(junk)
+
+
 def test_model_is_a_distribution(spark):
     d = spark.createDataFrame([("the cat sat. the dog sat!",), ("A dog ate the cat",)], "text string")
     rows = quality_lm.model(quality_lm.gram_counts(d)).toArrow()
