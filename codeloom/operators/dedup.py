@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import components
+from .graph import components, ensure_checkpoints
 
 SIGNATURE, BANDS = 128, 16
+#: Rows of a large bucket that are compared at once, with as many others.
+BLOCK = 1024
 _M61 = np.uint64((1 << 61) - 1)
 _rng = np.random.default_rng(1)
 _A = _rng.integers(1, 1 << 61, SIGNATURE, dtype=np.uint64)
@@ -68,18 +71,69 @@ def signatures(df: DataFrame, text: str, out: str = "sig") -> DataFrame:
     return df.withColumn(out, F.pandas_udf(_signature, "array<bigint>")(T.words(F.col(text))))
 
 
+def _block_links(members, least: float) -> list[tuple[int, int]]:
+    """Places of members whose links join different components in one block pair: no more than there are members."""
+    side = members.field("side").to_numpy()
+    n = len(side)
+    sig = members.field("sig").flatten().to_numpy().reshape(n, SIGNATURE)
+    comp = np.unique(members.field("comp").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    same = np.zeros((n, n), np.uint8)
+    for k in range(SIGNATURE):
+        same += sig[:, None, k] == sig[None, :, k]
+    near = (same >= least) & (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+    out, left = [], np.ones(n, bool)
+    for start in range(n):
+        stack = [start] if left[start] else []
+        left[start] = False
+        while stack:
+            x = stack.pop()
+            new = np.flatnonzero(near[x] & left)
+            left[new] = False
+            out += [(x, int(y)) for y in new]
+            stack += new.tolist()
+    return out
+
+
+def _within_large(large: DataFrame, links: DataFrame, sig: DataFrame, key: str, where: list[str], least: float) -> DataFrame:
+    """(a, b): links that join what `links` leaves apart in the buckets of `large`; all pairs, in blocks of bounded size."""
+    comp = components(links)
+    m = large.join(comp.withColumnRenamed("id", key), key, "left").withColumn("comp", F.coalesce("component", key))
+    several = m.groupBy(*where).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(*where)
+    m = m.join(several, where).join(sig, key).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = m.withColumn("blk", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1)
+    groups = dealt.groupBy(*where, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct(F.col(key).alias("key"), "comp", side.alias("side"), "sig")).alias("members"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.column(0):
+                keys = row.values.field("key")
+                found = _block_links(row.values, least)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array([p[i] for p in found], pa.int64())) for i in (0, 1)], ["a", "b"])
+
+    kind = sig.schema[key].dataType.simpleString()
+    return groups.select("members").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_pairs(df: DataFrame, key: str, threshold: float, scope: list[str] | None = None, hot: int = 200) -> DataFrame:
-    """(a, b): linked pairs by banded signatures (16 bands of 8), confirmed on whole signatures.
+    """(a, b): links by banded signatures (16 bands of 8), confirmed on whole signatures.
 
-    Within a bucket of over `hot` rows each row is linked to its predecessor only, by order of key,
-    as far as confirmed against it or the bucket's first; smaller buckets compare all pairs.
+    Their connected components are those of all confirmed pairs that share a bucket. Rows of one
+    signature are linked to the first of them, which alone goes on. Buckets of up to `hot` rows
+    compare all pairs. In larger ones each row is first compared with its predecessor by order of
+    key and with the bucket's first; what then still lies in different components is compared in
+    full, by pairs of blocks of about BLOCK rows, of which only joining links are returned.
     """
     scope = scope or []
-    rows = df.where("sig is not null")
+    ensure_checkpoints(df)
+    every = df.where("sig is not null").select(key, *scope, "sig").checkpoint()
+    rows = every.groupBy(*scope, "sig").agg(F.min(key).alias(key)).checkpoint()
+    one = rows.select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(scope)], F.col("sig").alias("sa"), F.col(key).alias("a"))
+    equal = every.join(one, [F.col("sig") == F.col("sa"), *[F.col(c).eqNullSafe(F.col(f"s{i}")) for i, c in enumerate(scope)]]).select("a", F.col(key).alias("b")).where("a <> b")
     bands = rows.select(key, *scope, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("sig", b * (SIGNATURE // BANDS) + 1, SIGNATURE // BANDS)))).alias("band", "h"))
     where = [*scope, "band", "h"]
     n = bands.groupBy(*where).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
-    b = bands.join(n, where)
+    b = bands.join(n, where).checkpoint()
     small = b.where(F.col("n") <= hot)
     pairs = small.alias("x").join(small.alias("y"), where).where(F.col(f"x.{key}") < F.col(f"y.{key}")).select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"))
     large = b.where(F.col("n") > hot)
@@ -90,7 +144,10 @@ def near_pairs(df: DataFrame, key: str, threshold: float, scope: list[str] | Non
     sig = rows.select(F.col(key), "sig")
     near = both.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return near.where(same >= threshold * SIGNATURE).select("a", "b")
+    links = near.where(same >= threshold * SIGNATURE).select("a", "b").checkpoint()
+    if not large.isEmpty():
+        links = links.union(_within_large(large, links, sig, key, where, threshold * SIGNATURE))
+    return links.union(equal)
 
 
 def clusters(df: DataFrame, key: str, threshold: float, text: str = "text", scope: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import random
 import tarfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,35 @@ def test_near_duplicates_with_a_hot_bucket(spark):
     assert {c[i] for i in range(230)} == {0} and c[1000] == 1000 and len(c) == 233
 
 
+def test_large_buckets_lose_no_links(spark, monkeypatch):
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+
+    def copy():
+        w = list(base)
+        w[rnd.randrange(len(w))] = f"x{rnd.random()}"
+        w[rnd.randrange(len(w))] = f"x{rnd.random()}"
+        return " ".join(w)
+
+    texts = [copy() for _ in range(300)]
+    rows = [(i, t, "s") for i, t in enumerate([*texts, texts[0], " ".join(base)])]
+    s = dedup.signatures(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "text").select("doc_id", "source", "sig").collect()
+    sig = {r.doc_id: np.array(r.sig) for r in s}
+    d = spark.createDataFrame(s, "doc_id bigint, source string, sig array<bigint>")
+    monkeypatch.setattr(dedup, "BLOCK", 64, raising=False)
+    for th in (0.9, 0.8):
+        root = {k: k for k in sig}
+        for a in sig:
+            for b in sig:
+                met = a < b and (sig[a] == sig[b]).reshape(dedup.BANDS, -1).all(1).any()
+                if met and (sig[a] == sig[b]).sum() >= th * dedup.SIGNATURE and root[a] != root[b]:
+                    x, y = sorted((root[a], root[b]))
+                    root = {k: x if r == y else r for k, r in root.items()}
+        got = {r.id: r.component for r in graph.components(dedup.near_pairs(d, "doc_id", th, ["source"], hot=50)).collect()}
+        assert {k: got.get(k, k) for k in sig} == root
+        assert len(set(root.values())) < len(root)
+
+
 def test_splits_do_not_overlap(spark):
     d = spark.createDataFrame([(i, f"k{i % 40}", "ab"[i % 2]) for i in range(400)], "id int, k string, f string")
     for parts in (1, 8):
