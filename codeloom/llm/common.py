@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -17,10 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "5000"}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch may hold; long texts would otherwise fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    """Bound what one Arrow batch may hold; long texts would otherwise fill a worker's memory.
+
+    Plans that are not run yet take the setting when they run, so it stays; bounded_batches() gives it back.
+    """
+    for k, v in _BATCH.items():
+        spark.conf.set(k, v)
+
+
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession):
+    """small_batches for what runs inside; the caller's settings afterwards."""
+    old = {k: spark.conf.get(k, None) for k in _BATCH}
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +77,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """written() in buckets by key: joins on it move only the other side."""
+    spark = df.sparkSession
+    name = f"codeloom_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/codeloom/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    _made.append((spark, path))
+    return spark.table(name)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in frames:

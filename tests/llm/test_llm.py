@@ -1,8 +1,11 @@
 """Operators of codeloom.llm against brute force, round trips and edge cases."""
 
+import functools
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -296,7 +299,7 @@ def test_licenses(odd, docs, nothing):
 def test_quality_model(spark, docs, odd, nothing):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality_lm.classify(docs, labels).join(labels, "doc_id").collect()
-    clean = [r.kept for r in got if r.quality == 1]
+    clean = [r.kept for r in got if r.quality == 1 and not r.toxic]
     junk = [r.kept for r in got if r.quality == 0]
     assert sum(clean) == len(clean) and sum(junk) <= 0.5 * len(junk)
     assert quality_lm.classify(odd, labels.limit(0)).count() == odd.count()
@@ -315,11 +318,95 @@ def test_quality_verdict_catches_toxic_and_junk(spark):
     assert len(junk) - sum(junk) >= 0.9 * len(junk)
 
 
+def brute_perplexities(rows, trusted, held):
+    """Modified Kneser-Ney over bytes in plain dictionaries: {key: (n_bytes, bits)} of rows (key, text)."""
+    n = quality_lm.ORDER
+    grams = lambda t: [(b"\0" * (n - 1) + t)[i : i + n] for i in range(len(t))]
+    raw = [(k, (t or "").encode()) for k, t in rows]
+    counts = {n: Counter(g for k, t in raw if k in trusted and not held(t) for g in grams(t))}
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut, total, weight = {}, {}, {}
+    for k, c in counts.items():
+        of = Counter(c.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
+        d = [0.5, 1.0, 1.5] if min(of[1], of[2], of[3]) == 0 else [min(float(i), max(0.05, i - (i + 1) * y * of[i + 1] / of[i])) for i in (1, 2, 3)]
+        cut[k] = lambda m, d=d: d[min(m, 3) - 1]
+        total[k], weight[k] = Counter(), Counter()
+        for g, m in c.items():
+            total[k][g[:-1]] += m
+            weight[k][g[:-1]] += cut[k](m)
+
+    @functools.cache
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        if not total[k][g[:-1]]:
+            return p(g[1:])
+        m = counts[k][g]
+        return ((m - cut[k](m) if m else 0) + weight[k][g[:-1]] * p(g[1:])) / total[k][g[:-1]]
+
+    return [(k, len(t), -sum(math.log2(p(g)) for g in grams(t))) for k, t in raw]
+
+
+def held_out(t):
+    return bool(quality_lm._held(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0])
+
+
+def test_quality_model_equals_brute_force(spark, odd, docs):
+    """Perplexities and limits, with repeated and null keys, a null language, a long text, and labels of nobody."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    some = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(999, 1, 0), (4, 0, 1)], "doc_id bigint, quality int, toxic int")
+    again = [(6, "another text of one key", "en", "s", 1, "k", 1, 2), (None, "no key " * 9, None, "s", 1, "k", 1, 2), (None, "no key " * 9, "fr", "s", 1, "k", 1, 2), (70, "long text " * 60_000, "en", "s", 1, "k", 1, 2)]
+    for d, l in ((docs, labels), (odd.union(spark.createDataFrame(again, DOCS)), some), (odd, labels.limit(0))):
+        rows = [(r.doc_id, r.text, r.lang) for r in d.collect()]
+        trusted = {r.doc_id for r in l.collect() if r.quality == 1 and not r.toxic}
+        one = [(i, t) for i, (_, t, _) in enumerate(rows)]
+        good = {i for i, (k, _, _) in enumerate(rows) if k in trusted} or {i for i, _ in one}
+        every = not trusted
+        want = brute_perplexities(one, good, (lambda t: False) if every else held_out)
+        use = [(rows[i][2], n, bits) for i, n, bits in want if i in good and n and (every or held_out((rows[i][1] or "").encode()))]
+        lim = {}
+        for lang in {x[2] for x in rows}:
+            mine = [x for x in use if x[0] == lang] if lang else []
+            mine = mine or use
+            rate = sum(x[2] for x in mine) / sum(x[1] for x in mine) if mine else None
+            mixed = sorted((x[2] + quality_lm.PRIOR * rate) / (x[1] + quality_lm.PRIOR) for x in mine)
+            lim[lang] = (rate, mixed[math.ceil(len(mixed) * quality_lm.QUANTILE - 1e-9) - 1]) if mine else None
+        got = sorted((str(r.doc_id), str(r.lang), r.n_bytes, r.perplexity or 0, r.judged or 0, r.limit, r.kept) for r in quality_lm.classify(d, l).collect())
+        exp = []
+        for i, n, bits in want:
+            k, _, lang = rows[i]
+            rate, most = lim[lang]
+            exp.append((str(k), str(lang), n, 2 ** (bits / n) if n else 0, 2 ** ((bits + quality_lm.PRIOR * rate) / (n + quality_lm.PRIOR)) if n else 0, most))
+        assert len(got) == len(exp)
+        for g, e in zip(got, sorted(exp), strict=True):
+            assert g[:3] == e[:3] and g[3:5] == pytest.approx(e[3:5], rel=1e-5)
+            assert 0 <= math.log2(g[5]) - e[5] <= 1.01 / quality_lm._BINS
+            assert g[6] == (not e[2] or g[4] <= g[5])
+
+
+def test_quality_screen_keeps_rows_by_their_own_text(spark, odd):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60) if i != 4], "doc_id bigint, quality int, toxic int")
+    bad = "".join(chr(33 + (i * 7919) % 90) for i in range(900))
+    d = odd.union(spark.createDataFrame([(4, bad, "en", "s", 1, "k", 1, 2), (None, bad, "en", "s", 1, "k", 1, 2), (None, "", "en", "s", 1, "k", 1, 2)], DOCS))
+    out = quality_lm.screened(d, labels)
+    assert out.dtypes == d.dtypes
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert (4, bad) not in kept and (None, bad) not in kept and (None, "") in kept and any(k == 4 for k, _ in kept)
+
+
 def test_model_is_a_distribution(spark):
-    d = spark.createDataFrame([("the cat sat. the dog sat!",), ("A dog ate the cat",)], "text string")
-    rows = quality_lm.model(quality_lm.gram_counts(d)).toArrow()
-    table = quality_lm.dense(tuple(rows[c].to_numpy() for c in ("k", "g", "v")))
-    assert np.allclose(np.exp2(table.astype(np.float64)).reshape(-1, 64).sum(1), 1, atol=1e-4)
+    d = spark.createDataFrame([("en", 1, "the cat sat. the dog sat!"), ("en", 2, "A dog ate the cat")], "lang string, id bigint, text string")
+    rows = {r.key: r for r in quality_lm.model(quality_lm.gram_counts(quality_lm.chunks(d), every=True)).collect()}
+    keys = np.array(sorted(rows), np.int64)
+    for ctx in (b"\0\0\0\0", b"the ", b" dog", b"zzzz", b"a\0\0t"):
+        grams = (np.int64(int.from_bytes(ctx, "big")) << 8) | np.arange(256)
+        need = quality_lm._keys(grams)
+        p = np.array([getattr(rows.get(int(k)), "p", None) or 0.0 for k in need])
+        w = np.array([getattr(rows.get(int(k)), "weight", None) or 1.0 for k in need])
+        assert keys.size and np.exp2(quality_lm._log2p(grams, need, p, w)).sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_kernels():
