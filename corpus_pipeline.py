@@ -20,9 +20,8 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is over their language's limit go."""
-    judged = quality_lm.op2(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where("not kept"))
+    """Documents whose perplexity is over their language's limit go: each row by its own text, whatever its key."""
+    return quality_lm.screened(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
