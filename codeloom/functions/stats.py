@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +41,32 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def bootstrap(df: DataFrame, by: list[str], value: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """Means of resamples: (by, mean, lo, hi) with the 2.5 and 97.5 % order statistics.
 
-    Rows get a Poisson(1) weight for each round from a hash, so a resample needs no group in one place.
+    A Poisson bootstrap: instead of n drawn indices a row has a Poisson(1) count in each round, so no
+    group needs to be in one place. Equal values are counted first; n of them have a Poisson(n) count,
+    drawn from the group's and the value's hash. A task keeps running sums of all rounds for each of
+    its groups, and only those are added up. Null values take no part.
     """
-    r = df.where(F.col(value).isNotNull()).withColumn("__row", F.xxhash64(*df.columns)).withColumn("__round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = (F.pmod(F.xxhash64("__row", "__round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    cuts, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        cuts.append(total)
-        term /= k
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    means = r.withColumn("__w", weight).groupBy(*by, "__round").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("__mean"))
-    ends = order_stats(means, by, "__mean", {"lo": ("floor", 0.025), "hi": ("floor", 0.975)})
-    if by:
-        return df.groupBy(*by).agg(F.avg(value).alias("mean")).join(ends, by, "left")
-    return df.agg(F.avg(value).alias("mean")).select("mean", *[ends.select(c).scalar().alias(c) for c in ("lo", "hi")])
+    g = [F.col(c).alias(f"g{i}") for i, c in enumerate(by)]
+    names = [f"g{i}" for i in range(len(by))]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    seeded = counts.select(F.to_json(F.struct(*names)).alias("g") if by else F.lit("").alias("g"), "x", "n", F.xxhash64(*names, "x", F.lit(seed)).alias("h"))
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for one, x, n, h in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                w = np.random.default_rng(h & 0xFFFFFFFFFFFFFFFF).poisson(n, rounds)
+                sums.setdefault(one, np.zeros((2, rounds)))[:] += (w * x, w)
+            if len(sums) > 1000:
+                yield partial(sums)
+                sums = {}
+        yield partial(sums)
+
+    def partial(sums):
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i].tolist() for v in sums.values()], pa.list_(pa.float64())) for i in (0, 1))], ["g", "s", "w"])
+
+    parts = seeded.mapInArrow(run, "g string, s array<double>, w array<double>")
+    rounds_ = parts.select("g", F.posexplode(F.arrays_zip("s", "w")).alias("round", "z")).groupBy("g", "round").agg((F.sum("z.s") / F.nullif(F.sum("z.w"), F.lit(0.0))).alias("mean"))
+    ends = order_stats(rounds_, ["g"], "mean", {"lo": ("floor", 0.025), "hi": ("floor", 0.975)})
+    means = df.groupBy(*g).agg(F.avg(value).alias("mean")).withColumn("g", F.to_json(F.struct(*names)) if by else F.lit(""))
+    return means.join(ends, "g", "left").select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], "mean", "lo", "hi")

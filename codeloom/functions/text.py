@@ -59,6 +59,25 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+def bound(c: Column, f) -> Column:
+    """f of an expression that is evaluated once, however often f's lambdas use it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _runs(w: Column, n: int, one, kind: str) -> Column:
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: one(F.slice(w, i, n)))).otherwise(F.array().cast(kind))
+
+
 def ngrams(words_: Column, n: int) -> Column:
     """All runs of n words, joined by blanks."""
-    return F.when(F.size(words_) >= n, F.transform(F.sequence(F.lit(1), F.size(words_) - (n - 1)), lambda i: F.array_join(F.slice(words_, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return bound(words_, lambda w: _runs(w, n, lambda x: F.array_join(x, " "), "array<string>"))
+
+
+def gram_hashes(words_: Column, n: int) -> Column:
+    """64-bit hashes of all runs of n words."""
+    return bound(words_, lambda w: _runs(w, n, F.xxhash64, "array<bigint>"))
+
+
+def gram_digests(words_: Column, n: int) -> Column:
+    """128 bits (h1, h2) of all runs of n words: what stands for the words in exchanges."""
+    return bound(words_, lambda w: _runs(w, n, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2")), "array<struct<h1:bigint,h2:bigint>>"))

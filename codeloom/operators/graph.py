@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoints(df: DataFrame) -> None:
-    """Take the cluster's checkpoint folder; set one only where there is none."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-"))
+from ..storage import written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of edges (a, b): every node takes the smallest label around it and its label's label, until none moves."""
-    ensure_checkpoints(edges)
-    e = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).checkpoint()
+    """(id, component) of edges (a, b): every node takes the smallest label around it and its label's label, until none moves.
+
+    Each round is a table in the shared folder; the driver sees a flag for each.
+    """
+    e = edges.where("a <> b").select("a", "b")
+    e = written(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = written(e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
     for _ in range(rounds):
         seen = e.join(label.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("low"))
         step = label.join(seen, "a").select("a", "c", F.least("c", "low").alias("low"))
-        hop = step.join(label.toDF("low", "further"), "low", "left").select("a", "c", F.least("low", F.coalesce("further", "low")).alias("next")).checkpoint()
-        moved = hop.where("next <> c").limit(1).count()
+        hop = written(step.join(label.toDF("low", "further"), "low", "left").select("a", "c", F.least("low", F.coalesce("further", "low")).alias("next")), "labels")
+        moved = not hop.where("next <> c").isEmpty()
         label = hop.select("a", F.col("next").alias("c"))
         if not moved:
             return label.toDF("id", "component")

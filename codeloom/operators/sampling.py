@@ -9,15 +9,37 @@ from ..functions import text as T
 from .tables import prefix_sums
 
 
+def hash_ranked(df: DataFrame, by: list[str], key: str, seed, out: str = "__r") -> DataFrame:
+    """df with its rank from 1 in each group (in all, if `by` is empty), by the hash of key, then by key.
+
+    Rows of one 16-bit prefix of the hash are counted first, so neither a hot group nor the whole
+    table meets in one task.
+    """
+    d = df.withColumn("__o", T.order_key(F.col(key), seed)).withColumn("__p", F.substring("__o", 1, 4))
+    n = d.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    before = n.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy("__p")) - F.col("__n"))
+    there = before.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col("__p").alias("__q"), "__before")
+    match = F.col("__p") == F.col("__q")
+    for i, c in enumerate(by):
+        match &= F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    rank = F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__o", key))
+    return d.withColumn("__in", rank).join(there, match).withColumn(out, F.col("__before") + F.col("__in")).drop("__o", "__p", "__q", "__in", "__before", *[f"__g{i}" for i in range(len(by))])
+
+
 def holdout_keys(df: DataFrame, key: str, share: float, seed: int, by: list[str] | None = None, rounding: str = "half_even", least: int = 1) -> DataFrame:
     """(by, key): distinct keys held out in each group, by hash order; `least` at least."""
     by = by or []
     keys = df.select(*by, key).distinct()
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    n = F.count("*").over(w)
-    want = F.bround(F.lit(share) * n) if rounding == "half_even" else F.floor(F.lit(share) * n)
-    ranked = keys.withColumn("__r", F.row_number().over(w.orderBy(T.order_key(F.col(key), seed), key))).withColumn("__w", F.greatest(F.lit(least), want))
-    return ranked.where("__r <= __w").select(*by, key)
+    n = keys.groupBy(*by).agg(F.count("*").alias("__n"))
+    want = F.bround(F.lit(share) * F.col("__n")) if rounding == "half_even" else F.floor(F.lit(share) * F.col("__n"))
+    quota = n.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.greatest(F.lit(least), want).alias("__w"))
+    ranked = hash_ranked(keys, by, key, seed)
+    if not by:
+        return ranked.where(F.col("__r") <= quota.select("__w").scalar()).select(key)
+    match = F.lit(True)
+    for i, c in enumerate(by):
+        match &= F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return ranked.join(quota, match).where("__r <= __w").select(*by, key)
 
 
 def holdout(df: DataFrame, key: str, share: float, seed: int, by: list[str] | None = None, **kw) -> DataFrame:
@@ -50,8 +72,7 @@ def quotas(df: DataFrame, by: list[str], total: int, least: int = 1) -> DataFram
 
 def by_quota(df: DataFrame, by: list[str], total: int, key: str, seed: int) -> DataFrame:
     """A stratified sample by proportional quotas."""
-    w = Window.partitionBy(*by).orderBy(T.order_key(F.col(key), seed), key)
-    return df.join(quotas(df, by, total), by).withColumn("__r", F.row_number().over(w)).where("__r <= quota").drop("__r", "n", "quota")
+    return hash_ranked(df, by, key, seed).join(quotas(df, by, total), by).where("__r <= quota").drop("__r", "n", "quota")
 
 
 def seeded(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def enriched(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """df with a dimension's columns and `hit`. Spark broadcasts the dimension if its size allows."""
@@ -33,16 +35,39 @@ def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, start: str
     return hit.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__bin")
 
 
-def best_overlap(left: DataFrame, lkey: str, right: DataFrame, rkey: str, items: str, least: float) -> DataFrame:
-    """(lkey, rkey, score): the right set that holds most of each left set, from a share of `least` on; ties go to the smaller rkey."""
-    l = left.select(lkey, F.explode(F.array_distinct(items)).alias("x"), F.size(F.array_distinct(items)).alias("n"))
-    r = right.select(rkey, F.explode(F.array_distinct(items)).alias("x"))
-    s = l.join(r, "x").groupBy(lkey, rkey).agg((F.count("*") / F.first("n")).alias("score")).where(F.col("score") >= least)
-    return s.groupBy(lkey).agg(F.max(F.struct(F.col("score").alias("score"), (-F.col(rkey)).alias("k"))).alias("m")).select(lkey, (-F.col("m.k")).alias(rkey), F.col("m.score").alias("score"))
+def looked_up(df: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
+    """df's rows with the columns of the row of dim that has the same composite key; null parts equal each other."""
+    there = dim.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in dim.columns if c not in keys])
+    match = F.lit(True)
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(there, match).drop(*[f"__{k}" for k in keys])
 
 
-def siblings(df: DataFrame, by: str, order: str, kind: str) -> DataFrame:
-    """Each row with the next later row of its group that is of another kind."""
+def best_overlap(left: DataFrame, lkey: str, right: DataFrame, rkey: str, items: str, least: float) -> DataFrame:
+    """(lkey, rkey, score): the right set that holds most of each left set, from a share of `least` on; ties go to the smaller rkey.
+
+    A left set of n items needs ceil(least * n) of them, so some of its n - need + 1 items that are
+    rarest on the right must be there (prefix filter), and the right set is no smaller (length
+    filter). Only these items are joined; what meets is compared in full. Empty sets match nothing.
+    """
+    need = lambda n: F.greatest(F.lit(1), F.ceil(F.lit(least) * n - 1e-9)).cast("int")
+    r = right.select(rkey, F.array_distinct(items).alias("rs")).where("size(rs) > 0")
+    rx = r.select(rkey, F.size("rs").alias("rn"), F.explode("rs").alias("x"))
+    rare = rx.groupBy("x").agg(F.count("*").alias("c"))
+    l = left.select(lkey, F.array_distinct(items).alias("ls")).where("size(ls) > 0")
+    lx = l.select(lkey, F.size("ls").alias("n"), F.explode("ls").alias("x")).join(rare, "x", "left")
+    known = lx.groupBy(lkey, "n").agg(F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "x")))).alias("on"))
+    room = F.size("on") - need(F.col("n")) + 1  # items unknown on the right are the rarest and come first
+    prefix = known.where(room > 0).select(lkey, need(F.col("n")).alias("need"), F.explode(F.slice("on", 1, room)).alias("p"))
+    met = prefix.select(lkey, "need", F.col("p.x").alias("x")).join(rx, "x").where("rn >= need").select(lkey, rkey).distinct()
+    full = met.join(l, lkey).join(r, rkey).select(lkey, rkey, (F.size(F.array_intersect("ls", "rs")) / F.size("ls")).alias("score"))
+    best = full.where(F.col("score") >= least).groupBy(lkey).agg(F.max(F.struct("score", (-F.col(rkey)).alias("k"))).alias("m"))
+    return best.select(lkey, (-F.col("m.k")).alias(rkey), F.col("m.score").alias("score"))
+
+
+def next_of_other_kind(df: DataFrame, by: str, order: str, kind: str) -> DataFrame:
+    """Each row with the next later row of its group that is of another kind, as `sibling`; rows without one go."""
     w = Window.partitionBy(by).orderBy(order)
     change = df.withColumn("__run", F.when(F.lag(kind).over(w).eqNullSafe(F.col(kind)), 0).otherwise(1))
     run = change.withColumn("__id", F.sum("__run").over(w))
@@ -50,6 +75,31 @@ def siblings(df: DataFrame, by: str, order: str, kind: str) -> DataFrame:
     return run.join(first, [by, "__id"]).drop("__run", "__id")
 
 
+def first_disjoint(df: DataFrame, by: str, order: str, items: str, at_once: int = 16) -> DataFrame:
+    """(by, order, sibling): for each row the first other row of its group, by order, that shares no item with it.
+
+    order is unique within a group; null and empty item sets share nothing. Rows without such a sibling
+    are left out. Rows try `at_once` candidates of their group at a time, and only those without a
+    find go on; rows that hold an item of every row of their group can have none and go first.
+    """
+    d = df.select(by, order, F.coalesce(F.array_distinct(items), F.array().cast(df.schema[items].dataType)).alias("x"))
+    size = d.groupBy(by).agg(F.count("*").alias("n"))
+    everywhere = d.select(by, F.explode("x").alias("i")).groupBy(by, "i").agg(F.count("*").alias("c")).join(size, by).where("c = n").groupBy(by).agg(F.collect_list("i").alias("all"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    ranked = written(d.withColumn("r", rank), "ranked")
+    left = ranked.join(everywhere, by, "left").where("all is null or not arrays_overlap(x, all)").select(by, order, "x")
+    found, step = None, 0
+    while True:
+        some = ranked.where((F.col("r") >= step) & (F.col("r") < step + at_once)).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("x").alias("cx")))).alias("c"))
+        fits = F.filter("c", lambda c: (c["o"] != F.col(order)) & ~F.coalesce(F.arrays_overlap(c["cx"], F.col("x")), F.lit(False)))
+        tried = written(left.join(some, by).withColumn("hit", F.get(fits, F.lit(0))).select(by, order, "x", F.col("hit.o").alias("sibling")), "tried")
+        got = tried.where("sibling is not null").select(by, order, "sibling")
+        found = got if found is None else found.union(got)
+        left, step = tried.where("sibling is null").select(by, order, "x"), step + at_once
+        if left.isEmpty():
+            return found
+
+
 def next_pairs(df: DataFrame, by: str, order: list[str], cols: list[str]) -> DataFrame:
     """Each row of a group with the next one's columns; last rows have none and go."""
     w = Window.partitionBy(by).orderBy(*order)
@@ -94,12 +144,15 @@ def before_counts(df: DataFrame, by: list[str], order: list[str], mask: Column)
 def prefix_sums(df: DataFrame, order: list, value: Column, bucket: Column, out: str = "before") -> DataFrame:
     """df with the sum of a value over all rows before, in one order over the whole table.
 
-    bucket must rise with the order; its sums are added up first, a row for each bucket, so that no
-    task sees more rows than one bucket has.
+    bucket must rise with the order. Buckets are added up first, then ranges of buckets, so a task sees
+    one bucket's rows, or one range's buckets, or a row for each range.
     """
     d = df.withColumn("__b", bucket).withColumn("__v", value)
     sums = d.groupBy("__b").agg(F.sum("__v").alias("__t"))
-    base = sums.select("__b", (F.sum("__t").over(Window.orderBy("__b")) - F.col("__t")).alias("__base"))
+    ranges = written(sums.repartitionByRange("__b").withColumn("__p", F.spark_partition_id()), "sums")
+    tops = ranges.groupBy("__p").agg(F.sum("__t").alias("__r")).select("__p", (F.sum("__r").over(Window.orderBy("__p")) - F.col("__r")).alias("__top"))
+    low = ranges.withColumn("__low", F.sum("__t").over(Window.partitionBy("__p").orderBy("__b")) - F.col("__t"))
+    base = low.join(tops, "__p").select("__b", (F.col("__top") + F.col("__low")).alias("__base"))
     inside = F.sum("__v").over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__v")
     return d.withColumn("__in", inside).join(base, "__b").withColumn(out, F.col("__base") + F.col("__in")).drop("__b", "__v", "__t", "__base", "__in")
 
@@ -125,7 +178,7 @@ def breakdowns(df: DataFrame, dims: list[str], aggs: list[Column]) -> DataFrame:
 
 def version_key(version: Column) -> Column:
     """Sortable parts of a version: numbers by value, then what is left of each part."""
-    return F.transform(F.split(version, "[.-]"), lambda p: F.struct(F.coalesce(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int") if hasattr(Column, "try_cast") else F.regexp_extract(p, r"^(\d+)", 1).cast("int"), F.lit(-1)).alias("n"), F.regexp_replace(p, r"^\d+", "").alias("rest")))
+    return F.transform(F.split(version, "[.-]"), lambda p: F.struct(F.coalesce(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int"), F.lit(-1)).alias("n"), F.regexp_replace(p, r"^\d+", "").alias("rest")))
 
 
 def highest_version(df: DataFrame, by: str, version: str) -> DataFrame:

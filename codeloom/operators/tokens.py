@@ -20,11 +20,22 @@ def placed(docs: DataFrame, key: str, tokens: str, eos) -> DataFrame:
 
 
 def blocks(docs: DataFrame, key: str, tokens: str, eos, size: int = 1024, keep_tail: bool = False) -> DataFrame:
-    """(block, toks): size + 1 tokens, the last repeated as the next block's first; the tail goes unless kept."""
+    """(block, toks): size + 1 tokens, the last repeated as the next block's first; the tail goes unless kept.
+
+    Documents are cut at block edges, and these slices are shuffled, not single tokens.
+    """
     p = placed(docs, key, tokens, eos)
-    flat = p.select("start", F.posexplode("toks").alias("i", "tok")).select((F.col("start") + F.col("i")).alias("pos"), "tok")
-    both = flat.withColumn("block", F.explode(F.when((F.col("pos") > 0) & (F.col("pos") % size == 0), F.array(F.floor(F.col("pos") / size) - 1, F.floor(F.col("pos") / size))).otherwise(F.array(F.floor(F.col("pos") / size)))))
-    b = both.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("toks"))
+    n, start = F.size("toks"), F.col("start")
+    first = F.greatest(F.lit(0), F.ceil((start - size) / size)).cast("bigint")
+    last = F.floor((start + n - 1) / size)
+
+    def cut(k):
+        at = F.greatest(start, k * size)
+        upto = F.least(start + n, k * size + size + 1)
+        return F.struct(k.alias("block"), at.alias("pos"), F.slice("toks", (at - start + 1).cast("int"), (upto - at).cast("int")).alias("part"))
+
+    parts = p.select(F.inline(F.transform(F.sequence(first, last), cut)))
+    b = parts.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"])).alias("toks"))
     if keep_tail:
         return b
     total = p.agg(F.sum(F.size("toks"))).scalar()

@@ -282,8 +282,8 @@ def minhash_near_dups(t, spark):
     """Clusters within each source at 0.9 and 0.8: raw and unique tokens."""
     d = t("documents").select("doc_id", "source", "text", F.size(T.words(F.col("text"))).alias("tokens"))
     out = None
-    for th in (0.9, 0.8):
-        u = dedup.unique_tokens(dedup.clusters(d, "doc_id", th, scope=["source"]), "tokens", ["source"]).withColumn("threshold", F.lit(th))
+    for th, found in dedup.clusters_at(d, "doc_id", [0.9, 0.8], scope=["source"]).items():
+        u = dedup.unique_tokens(found, "tokens", ["source"]).withColumn("threshold", F.lit(th))
         out = u if out is None else out.union(u)
     return out
 

@@ -82,10 +82,12 @@ def multiway_token_join(t, spark):
     return j.select(F.col("d").cast("string").alias("d"), "n", "u", F.round("m", 6).alias("m"))
 
 
-@query("SELECT l_orderkey, l_linenumber, o_orderstatus, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_totalprice > 200000")
+@query("SELECT u.conv_id, u.turn, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
 def composite_key_lookup(t, spark):
-    o = t("orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    return t("lineitem").join(o, "l_orderkey").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "o_orderstatus", "s_nationkey")
+    """Each question's answer, by (conv_id, turn, role)."""
+    c = t("conversations")
+    asked = c.where("role = 'user'").select("conv_id", F.col("turn").alias("asked"), (F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"))
+    return tables.looked_up(asked, c.withColumnRenamed("text", "answer"), ["conv_id", "turn", "role"]).select("conv_id", F.col("asked").alias("turn"), "answer")
 
 
 @query("WITH s(sid, a, b) AS (VALUES (1, 0, 4000), (2, 100, 900), (3, 120, 300), (4, 5000, 9000)), h AS (SELECT event_id, sid, row_number() OVER (PARTITION BY event_id ORDER BY b - a, a) AS r FROM events JOIN s ON event_id BETWEEN a AND b) SELECT event_id, sid FROM h WHERE r = 1")
@@ -94,18 +96,26 @@ def containment_join(t, spark):
     return tables.innermost(t("events").select("event_id"), spans, "event_id", "event_id").select("event_id", "sid")
 
 
-@query("""WITH d AS (SELECT doc_id AS a, list_distinct(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS w FROM documents WHERE n_chars < 600), b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS w FROM benchmark),
+@query("""WITH d AS (SELECT doc_id AS a, list_distinct(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS w FROM documents), b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS w FROM benchmark),
 de AS (SELECT a, len(w) AS n, unnest(w) AS x FROM d), be AS (SELECT item_id, unnest(w) AS x FROM b), s AS (SELECT a, item_id, count(*) / min(n) AS s FROM de JOIN be USING (x) GROUP BY a, item_id HAVING count(*) / min(n) >= 0.1), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, item_id) AS r FROM s)
 SELECT a AS doc_id, item_id, round(s, 6) AS score FROM r WHERE r = 1""")
 def best_overlap_match(t, spark):
-    d = t("documents").where("n_chars < 600").select("doc_id", T.words(F.col("text")).alias("w"))
+    d = t("documents").select("doc_id", T.words(F.col("text")).alias("w"))
     b = t("benchmark").select("item_id", T.words(F.col("text")).alias("w"))
     return tables.best_overlap(d, "doc_id", b, "item_id", "w", 0.1).select("doc_id", "item_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT a.user_id, a.event_id, min(b.event_id) AS sibling FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id AND a.event_type <> b.event_type GROUP BY a.user_id, a.event_id")
+def next_other_kind(t, spark):
+    return tables.next_of_other_kind(t("events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "event_type").select("user_id", "event_id", "sibling")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM conversations)
+SELECT a.conv_id, a.turn, min(b.turn) AS sibling FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn <> b.turn AND NOT list_has_any(a.w, b.w) GROUP BY a.conv_id, a.turn""")
 def sibling_no_leak(t, spark):
-    return tables.siblings(t("events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "event_type").select("user_id", "event_id", "sibling")
+    """Each turn with the first other turn of its conversation that shares no word with it."""
+    c = t("conversations").select("conv_id", "turn", T.words(F.col("text")).alias("w"))
+    return tables.first_disjoint(c, "conv_id", "turn", "w")
 
 
 @query(f"SELECT {HOST} AS host, CAST(count(*) AS BIGINT) AS n, min(page_id) AS first_page FROM pages GROUP BY 1")
@@ -149,9 +159,9 @@ def tri_state_counts(t, spark):
     return t("customer").groupBy("c_mktsegment").agg(F.count_if(g).alias("pos"), F.count_if(~g).alias("neg"), F.count_if(g.isNull()).alias("unknown"))
 
 
-@query("SELECT user_id, event_id, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT) AS k FROM events WHERE event_id < 500")
+@query("SELECT user_id, event_id, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT) AS k FROM events")
 def json_field(t, spark):
-    return t("events").where("event_id < 500").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return t("events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
 @query("SELECT o_orderkey, coalesce(o_orderpriority, '') AS p FROM orders ORDER BY p DESC, o_orderkey LIMIT 60")
@@ -168,14 +178,11 @@ def tumbling_counts(t, spark):
 @query("SELECT event_id FROM events")
 def stream_seen_dedup(t, spark):
     """Each event once, by a stream over the table's files; equal to the table's keys."""
-    import tempfile
-    import uuid
-
     from .. import streaming
+    from ..storage import fresh_dir
 
     e = t("events")
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-")).rstrip("/")
-    at = f"{shared}/codeloom-stream-{uuid.uuid4().hex}"
+    at = fresh_dir(spark, "stream")
     e.union(e).write.parquet(f"{at}/in")
     s = streaming.stream(spark, f"{at}/in", e.schema, files=1)
     streaming.drain(streaming.seen_once(s.select("event_id", "ts"), "event_id", "ts", "3650 days").select("event_id"), f"{at}/out", f"{at}/state")

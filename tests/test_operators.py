@@ -96,7 +96,7 @@ def test_large_buckets_lose_no_links(spark, monkeypatch):
                 if met and (sig[a] == sig[b]).sum() >= th * dedup.SIGNATURE and root[a] != root[b]:
                     x, y = sorted((root[a], root[b]))
                     root = {k: x if r == y else r for k, r in root.items()}
-        got = {r.id: r.component for r in graph.components(dedup.near_pairs(d, "doc_id", th, ["source"], hot=50)).collect()}
+        got = {r.id: r.component for r in graph.components(dedup.near_links(d, "doc_id", [th], ["source"])[th]).collect()}
         assert {k: got.get(k, k) for k in sig} == root
         assert len(set(root.values())) < len(root)
 
