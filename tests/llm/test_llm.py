@@ -273,27 +273,41 @@ def test_sharding(docs, nothing):
         sharding.table(names, 1000)
 
 
-def test_licenses(odd, docs, nothing):
+def brute_labels(w, templates, containment):
+    """Labels of templates that some window of words meets, and the highest containment."""
+    found, best = set(), 0.0
+    for label, (tw, need, length) in licenses.measures(templates, containment).items():
+        at = [i for i, x in enumerate(w) if x in tw]
+        most = max((len({w[j] for j in at if i <= j < i + length}) for i in at), default=0)
+        if most >= need:
+            found.add(label)
+            best = max(best, most / len(tw))
+    return found, best
+
+
+def test_licenses(spark, odd, docs, nothing):
     letter = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    for texts, d in both(odd, docs):
-        got = {r.doc_id: r for r in licenses.op10(d).collect()}
-        for k, t in texts.items():
-            low = (t or "").translate(AZ)
-            w = letter.findall(low)
+    notices = []
+    for text in licenses.TEMPLATES.values():
+        w = text.split(" ")
+        notices += [text, "\n * ".join(" ".join(w[i : i + 6]) for i in range(0, len(w), 6)), " ".join(w[: len(w) * 3 // 4]), " filler ".join(w), "x " * 700 + text + " y" * 600]
+    notices += ["cc by " * 700, "all rights " + "reserved " * 3, None, "", "Ⅿit İ licensed K"]
+    more = spark.createDataFrame([(100 + i // 2 if i % 7 else None, t, "en", "s", 1, "k", 1, 2) for i, t in enumerate(notices)], DOCS)
+    for d in (odd.union(more), docs):
+        exp = []
+        for r in d.select("doc_id", "text").collect():
+            w = letter.findall((r.text or "").translate(AZ))
             hits = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-            found, best = set(), 0.0
-            for line in low.split("\n"):
-                mine = set(letter.findall(line))
-                for label, text in licenses.TEMPLATES.items():
-                    tw = set(licenses.template_words(text))
-                    if len(mine & tw) >= np.ceil(licenses.CONTAINMENT * len(tw) - 1e-9):
-                        found.add(label)
-                        best = max(best, len(mine & tw) / len(tw))
+            found, best = brute_labels(w, licenses.TEMPLATES, licenses.CONTAINMENT)
             base = {label for _, label in hits}
-            r = got[k]
-            assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(hits), min([i for i, _ in hits], default=None), max([i for i, _ in hits], default=None))
-            assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | found)) and abs(r.score - (1.0 if hits else best)) < 1e-12
+            exp.append((str(r.doc_id), len(w), len(hits), min([i for i, _ in hits], default=-1), max([i for i, _ in hits], default=-1), ",".join(sorted(base)), ",".join(sorted(base | found)), round(1.0 if hits else best, 9)))
+        got = [(str(r.doc_id), r.n_words, r.n_base, -1 if r.first_word is None else r.first_word, -1 if r.last_word is None else r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in licenses.op10(d).collect()]
+        assert sorted(got) == sorted(exp)
+    wrapped = [t for t in licenses.op10(more).select("labels").collect() if "mit-text" in t.labels]
+    assert len(wrapped) >= 3
     assert licenses.op10(nothing).count() == 0
+    with pytest.raises(ValueError):
+        licenses.scan(odd, templates={"none": "..."})
 
 
 def test_quality_model(spark, docs, odd, nothing):
