@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 Symbols are bytes, the order is 5, and n-grams are packed into 64-bit integers, so keys are exact and
-tables grow with the text. The corpus is cut into chunks of about CHUNK_BYTES of whole texts. A chunk
+tables grow with the text. The corpus is cut into chunks of bounded size (chunks.py). A chunk
 is one row: its rows as compressed Arrow data, and its distinct n-grams and contexts of every order,
 pre-aggregated. Chunks are written once, in buckets by chunk, so that texts are never shuffled:
 
@@ -19,7 +19,6 @@ own rate are added to each text before it is compared, at every length alike.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from . import chunks as C
 from . import kernels as K
 from .common import bucketed, bounded_batches, written
 
@@ -38,7 +38,6 @@ QUANTILE = 0.98
 PRIOR = 1000
 #: One trusted text of so many, by a hash of the text, is held out from the counts and sets the limits.
 HELD = 4
-CHUNK_BYTES = 16 << 20
 #: Entries of one shard of the model, and bytes of asks that one group of a shard holds, at most about.
 SHARD_ROWS, SHARD_BYTES = 500_000, 64 << 20
 _BINS = 2000
@@ -74,22 +73,6 @@ def _keys(grams):
     return np.unique(np.concatenate(out))
 
 
-def _pack(a):
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(raw, kind, n):
-    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
-
-
-def _stored(batches):
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        for b in batches:
-            w.write_batch(b)
-    return sink.getvalue().to_pybytes()
-
-
 def chunks(src: DataFrame) -> DataFrame:
     """(chunk, ids, rows, n_keys, keys) of rows with the columns id and text: see the module's description."""
 
@@ -100,20 +83,10 @@ def chunks(src: DataFrame) -> DataFrame:
                 grams.append(pc.unique(pa.array(_codes(data, off))).to_numpy())
         keys = _keys(np.unique(np.concatenate(grams)))
         ids = pa.concat_arrays([K.column(b, "id") for b in parts])
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([_stored(parts)], pa.binary()), pa.array([len(keys)]), pa.array([_pack(np.diff(keys, prepend=0))], pa.binary())], ["chunk", "ids", "rows", "n_keys", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array([C.name()]), C.one_list(ids), pa.array([C.stored(parts)], pa.binary()), pa.array([len(keys)]), pa.array([C.pack(np.diff(keys, prepend=0))], pa.binary())], ["chunk", "ids", "rows", "n_keys", "keys"])
 
     def run(batches):
-        parts, size = [], 0
-        for b in batches:
-            if not len(b):
-                continue
-            parts.append(b)
-            size += b.nbytes
-            if size >= CHUNK_BYTES:
-                yield one(parts)
-                parts, size = [], 0
-        if parts:
-            yield one(parts)
+        yield from map(one, C.gathered(batches))
 
     return src.mapInArrow(run, "chunk bigint, ids array<bigint>, rows binary, n_keys bigint, keys binary")
 
@@ -124,11 +97,10 @@ def gram_counts(marked: DataFrame, every: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                g, n, first = [], [], 0
+                g, n = [], []
                 places = None if every else np.array(K.column(batch, "places")[i].as_py() or [], np.int64)
-                for b in pa.ipc.open_stream(K.column(batch, "rows")[i].as_buffer()):
+                for first, b in C.opened(K.column(batch, "rows")[i]):
                     mine = b if every else b.take(pa.array(places[(places >= first) & (places < first + len(b))] - first))
-                    first += len(b)
                     for _, _, data, off in K.slices(mine):
                         c = _codes(data, off)
                         seen = pc.value_counts(pa.array(c if every else c[np.repeat(~_held(data, off), np.diff(off))]))
@@ -191,12 +163,12 @@ def answers(cut: DataFrame, fitted: DataFrame, partitions: int) -> DataFrame:
     def asks(batches):
         for batch in batches:
             for chunk, n, raw in zip(K.column(batch, "chunk").to_pylist(), K.column(batch, "n_keys").to_pylist(), K.column(batch, "keys"), strict=True):
-                keys = np.cumsum(_unpack(raw.as_buffer(), np.int64, n))
+                keys = np.cumsum(C.unpack(raw.as_buffer(), np.int64, n))
                 shard = _shard(keys, shards)
                 order = np.argsort(shard, kind="stable")
                 bound = np.searchsorted(shard[order], np.arange(shards + 1))
                 some = [(s, keys[order[bound[s] : bound[s + 1]]]) for s in np.flatnonzero(np.diff(bound)).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in some], pa.int32()), pa.array([chunk % salts] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([len(k) for _, k in some], pa.int32()), pa.array([_pack(np.diff(k, prepend=0)) for _, k in some], pa.binary())], ["shard", "salt", "chunk", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in some], pa.int32()), pa.array([chunk % salts] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([len(k) for _, k in some], pa.int32()), pa.array([C.pack(np.diff(k, prepend=0)) for _, k in some], pa.binary())], ["shard", "salt", "chunk", "n", "keys"])
 
     def answer(asked, known):
         order = np.argsort(known.column("key").to_numpy())
@@ -205,12 +177,12 @@ def answers(cut: DataFrame, fitted: DataFrame, partitions: int) -> DataFrame:
         weight = known.column("weight").to_numpy(zero_copy_only=False)[order]
         ps, ws = [], []
         for n, raw in zip(asked.column("n").to_pylist(), asked.column("keys"), strict=True):
-            k = np.cumsum(_unpack(raw.as_buffer(), np.int64, n))
+            k = np.cumsum(C.unpack(raw.as_buffer(), np.int64, n))
             i = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
             hit = key[i] == k if len(key) else np.zeros(n, bool)
             for got, values, lacking in ((ps, p, 0), (ws, weight, 1)):
                 v = np.where(hit, values[i] if len(key) else 0, np.nan)
-                got.append(_pack(np.where(np.isnan(v), lacking, v).astype(np.float32)))
+                got.append(C.pack(np.where(np.isnan(v), lacking, v).astype(np.float32)))
         return pa.table({"chunk": asked.column("chunk").cast(pa.int64()), "shard": asked.column("shard").cast(pa.int32()), "p": pa.array(ps, pa.binary()), "weight": pa.array(ws, pa.binary())})
 
     asked = cut.select("chunk", "n_keys", "keys").mapInArrow(asks, "shard int, salt int, chunk bigint, n int, keys binary")
@@ -236,16 +208,16 @@ def scores(marked: DataFrame, keep: list[S.StructField]) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 n = K.column(batch, "n_keys")[i].as_py()
-                keys = np.cumsum(_unpack(K.column(batch, "keys")[i].as_buffer(), np.int64, n))
+                keys = np.cumsum(C.unpack(K.column(batch, "keys")[i].as_buffer(), np.int64, n))
                 shard = _shard(keys, K.column(batch, "shards")[i].as_py() or 1)
                 p, weight = np.zeros(n), np.ones(n)
                 order = np.argsort(shard, kind="stable")
                 for part in K.column(batch, "found")[i].values or ():
                     s = part["shard"].as_py()
                     at = order[np.searchsorted(shard[order], s) : np.searchsorted(shard[order], s, "right")]
-                    p[at], weight[at] = (_unpack(part[x].as_buffer(), np.float32, len(at)) for x in ("p", "weight"))
-                places, first = np.array(K.column(batch, "places")[i].as_py() or [], np.int64), 0
-                for b in pa.ipc.open_stream(K.column(batch, "rows")[i].as_buffer()):
+                    p[at], weight[at] = (C.unpack(part[x].as_buffer(), np.float32, len(at)) for x in ("p", "weight"))
+                places = np.array(K.column(batch, "places")[i].as_py() or [], np.int64)
+                for first, b in C.opened(K.column(batch, "rows")[i]):
                     bits, size, held = np.zeros(len(b)), np.zeros(len(b), np.int64), np.zeros(len(b), bool)
                     for at, to, data, off in K.slices(b):
                         if len(data):
@@ -257,7 +229,6 @@ def scores(marked: DataFrame, keep: list[S.StructField]) -> DataFrame:
                         held[at:to] = _held(data, off)
                     good = np.zeros(len(b), bool)
                     good[places[(places >= first) & (places < first + len(b))] - first] = True
-                    first += len(b)
                     yield pa.RecordBatch.from_arrays([*(K.column(b, f.name) for f in keep), pa.array(size), pa.array(bits), pa.array(good), pa.array(held)], [*(f.name for f in keep), "n_bytes", "bits", "trusted", "held"])
 
     kind = S.StructType([*keep, S.StructField("n_bytes", S.LongType()), S.StructField("bits", S.DoubleType()), S.StructField("trusted", S.BooleanType()), S.StructField("held", S.BooleanType())])

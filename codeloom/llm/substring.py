@@ -2,11 +2,15 @@
 
 Seeds: of the 13 consecutive 8-word grams in every 20-word window the one of smallest hash (the
 first, of equals) is its anchor, so equal windows have equal anchors at equal places; about a
-seventh of all positions are anchors. Anchors are joined on their hash, and only those that two
-different texts hold, or one text twice, go on. Extension: each seed is extended both ways to the full windows that it
-anchors, all occurrences of a seed at once and one row for each, never in pairs; windows that agree
-over the whole threshold length are repeats. Adjacent repeated windows merge into maximal repeats.
-Windows are compared by 96-bit hashes.
+seventh of all positions are anchors. Anchors are found once and joined on their hash; only those
+that two different texts hold, or one text twice, are seeds. Extension: each seed grows both ways, to
+every full window of the threshold length that it anchors, all occurrences at once and one row for
+each, never in pairs; a window that begins earlier elsewhere is a match, and matches that touch, from
+seed to seed, join to the maximal repeat, of which every part has its window. Windows are
+compared by 96-bit hashes.
+
+Texts are written once, in chunks (chunks.py), and never shuffled: seeds, copies and matches travel to
+the chunks. Every row is a document of its own; rows of one key come in the order of their texts.
 """
 
 from __future__ import annotations
@@ -17,11 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
+from . import chunks as C
 from . import kernels as K
-from .common import small_batches, written
+from .common import bounded_batches, bucketed, written
 
 GRAM = 8
+#: The order of documents: key (null: last), then for repeated and null keys a hash of the text and the row's own number.
+ORDER = ["id", "tie", "row"]
+_LAST = (1 << 63) - 1
 
 
 def _lowest(h, at, text, length):
@@ -41,26 +50,54 @@ def _lowest(h, at, text, length):
     return at[start + which[start]], at[start]
 
 
-def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(hash, whole, twice, id, pos): the anchors of all windows, each position once; pos counts words from 0.
+def _anchors(data, off, length):
+    """(words, bounds, seed hash, text, start): the anchors of all windows of a slice, each position once."""
+    w, s, e, b = K.word_hashes(data, off)
+    h, start, text = K.gram_hashes(w, b, GRAM)
+    a = np.unique(_lowest(h, start, text, length)[0])
+    return w, s, e, b, h[np.searchsorted(start, a)], np.searchsorted(b, a, "right") - 1, a
 
-    whole is a hash of the text's whole sequence of words, twice tells that the text has the anchor again.
+
+def chunks(src: DataFrame, length: int) -> DataFrame:
+    """A row for each chunk of src (id, again, text, and columns that are carried along).
+
+    rows are the chunk's rows; then come arrays with an entry for each row (id, tie, row, n_words, sha
+    of the words joined by single spaces, own: the text has an anchor twice) and for each anchor (hash, at:
+    the row in the chunk, pos in words, whole: a hash of the text's sequence of words, twice).
     """
 
-    def run(batches):
-        for batch in batches:
-            ids = K.column(batch, "id").to_numpy()
-            for at, _, data, off in K.slices(batch):
-                w, _, _, b = K.word_hashes(data, off)
-                h, start, text = K.gram_hashes(w, b, GRAM)
-                a, _ = _lowest(h, start, text, length)
-                a = np.unique(a)
-                t = np.searchsorted(b, a, "right") - 1
-                seed = h[np.searchsorted(start, a)]
+    def one(parts):
+        docs = {x: [] for x in (*ORDER, "n_words", "sha", "own")}
+        found = {x: [] for x in ("hash", "at", "pos", "whole", "twice")}
+        name, first = C.name(), 0
+        for p in parts:
+            again = np.asarray(K.column(p, "again"))
+            for at, to, data, off in K.slices(p):
+                w, s, e, b, seed, t, a = _anchors(data, off, length)
                 twice = K.repeats(K.mix(seed + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(K.sequence_hashes(w, b)[t].view(np.int64)), pa.array(twice), pa.array(ids[at + t]), pa.array((a - b[t]).astype(np.int32))], ["hash", "whole", "twice", "id", "pos"])
+                n = to - at
+                own = np.zeros(n, bool)
+                own[t[twice]] = True
+                tie = (K.run_hash(K.byte_prefix(data), off[:-1], off[1:]) >> np.uint64(1)).astype(np.int64)
+                mine = again[at:to]
+                raw = data.tobytes()
+                docs["id"].append(K.column(p, "id").fill_null(_LAST).to_numpy()[at:to])
+                docs["tie"].append(np.where(mine, tie, 0))
+                docs["row"].append(np.where(mine, (K.mix(np.arange(first + at, first + to, dtype=np.uint64) + np.uint64(name)) >> np.uint64(1)).astype(np.int64), 0))
+                docs["n_words"].append(np.diff(b))
+                docs["sha"] += [hashlib.sha256(b" ".join(raw[off[i] : off[i + 1]].split())).digest() for i in range(n)]
+                docs["own"].append(own)
+                for x, v in (("hash", seed.view(np.int64)), ("at", (first + at + t).astype(np.int32)), ("pos", (a - b[t]).astype(np.int32)), ("whole", K.sequence_hashes(w, b)[t].view(np.int64)), ("twice", twice)):
+                    found[x].append(v)
+            first += len(p)
+        cols = {"chunk": pa.array([name]), "rows": pa.array([C.stored(parts)], pa.binary())}
+        cols |= {x: C.one_list(v if x == "sha" else np.concatenate(v), pa.binary() if x == "sha" else None) for x, v in (docs | found).items()}
+        return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    def run(batches):
+        yield from map(one, C.gathered(batches))
 
-    return docs.mapInArrow(run, "hash bigint, whole bigint, twice boolean, id bigint, pos int")
+    return src.mapInArrow(run, "chunk bigint, rows binary, id array<bigint>, tie array<bigint>, row array<bigint>, n_words array<bigint>, sha array<binary>, own array<boolean>, hash array<bigint>, at array<int>, pos array<int>, whole array<bigint>, twice array<boolean>")
 
 
 def _windows(w, b, length):
@@ -75,121 +112,149 @@ def _windows(w, b, length):
     return g, g2, s, t, again
 
 
-def windows(marked: DataFrame, length: int) -> DataFrame:
-    """(h1, rest, id): the windows around the seeds of each row (id, text, seeds), each once; rest is 32 bits of hash and the place."""
-
-    def run(batches):
-        for batch in batches:
-            ids, seeds = K.column(batch, "id").to_numpy(), K.column(batch, "seeds")
-            for at, to, data, off in K.slices(batch):
-                w, _, _, b = K.word_hashes(data, off)
-                h, start, text = K.gram_hashes(w, b, GRAM)
-                a, s = _lowest(h, start, text, length)
-                seed = np.zeros(len(w), bool)
-                for i in range(at, to):
-                    seed[b[i - at] + seeds[i].values.to_numpy()] = True
-                g, g2, starts, t, again = _windows(w, b, length)
-                pick = np.searchsorted(starts, s[seed[a]])
-                pick = pick[~again[pick]]
-                rest = (g2[pick] << np.uint64(32)).view(np.int64) | (starts[pick] - b[t[pick]])
-                yield pa.RecordBatch.from_arrays([pa.array(g[pick].view(np.int64)), pa.array(rest), pa.array(ids[at + t[pick]])], ["h1", "rest", "id"])
-
-    return marked.select("id", "text", "seeds").mapInArrow(run, "h1 bigint, rest bigint, id bigint")
-
-
-def _plain(docs: DataFrame) -> DataFrame:
-    """(id, n_words, sha) of the whole texts, as words joined by single spaces."""
+def _lists(batch, name, i, kind=np.int64):
+    v = K.column(batch, name)[i]
+    return v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.zeros(0, kind)
 
-    def run(batches):
-        for batch in batches:
-            col = K.column(batch, "text")
-            words = [(x.as_py() or "").encode("utf-8", "surrogatepass").split() for x in col]
-            yield pa.RecordBatch.from_arrays([K.column(batch, "id"), pa.array([len(x) for x in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in words])], ["id", "n_words", "sha"])
 
-    return docs.mapInArrow(run, "id bigint, n_words bigint, sha string")
+def _apart(packed):
+    """(rows, places) of packed (row << 32 | place), by row."""
+    packed = np.sort(packed)
+    return packed >> 32, packed & 0xFFFFFFFF
 
 
-CUT = "id bigint, n_removed bigint, kept string, spans array<array<bigint>>"
-
-
-def _cut(marked: DataFrame, length: int) -> DataFrame:
-    """(id, n_removed, kept, spans) of rows (id, text, bad: starts of windows that other texts have earlier) that lose words."""
+def windows(marked: DataFrame, length: int) -> DataFrame:
+    """(h1, rest, id, tie, row): the windows that each chunk's seeds grow to, each once for a text; rest is 32 bits of hash and the start."""
 
     def run(batches):
         for batch in batches:
-            ids, out = [], []
-            for at, to, data, off in K.slices(batch):
-                w, _, _, b = K.word_hashes(data, off)
-                _, _, s, t, again = _windows(w, b, length)
-                s, t = s[again], t[again]
-                for i in range(at, to):
-                    bad, k = K.column(batch, "bad")[i], i - at
-                    starts = s[t == k] - b[k]
-                    if bad.is_valid:
-                        starts = np.concatenate([starts, bad.values.to_numpy()])
-                    if not len(starts):
-                        continue
-                    gone = K.covered(starts, length, int(b[k + 1] - b[k]))
-                    words = data[off[k] : off[k + 1]].tobytes().split()
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    ids.append(i)
-                    out.append((int(gone.sum()), b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g]).decode("utf-8", "replace"), edge.reshape(-1, 2).tolist()))
-            yield pa.RecordBatch.from_arrays([K.column(batch, "id").take(pa.array(ids, pa.int64())), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.list_(pa.list_(pa.int64())))], ["id", "n_removed", "kept", "spans"])
-
-    return marked.select("id", "text", "bad").mapInArrow(run, CUT)
-
-
-def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("id is not null")
-
-
-def _repeated(src: DataFrame, plain: DataFrame, length: int) -> DataFrame:
-    """CUT for all texts that lose words. plain: _plain of src.
-
-    Of texts of equal words only the first takes part in the join; the later ones lose all words.
-    """
-    first = plain.where(F.col("n_words") >= length).groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    copies = plain.join(first, "sha").where("id <> first").groupBy("id").agg(F.max("n_words").alias("n_removed"))
-    a = anchors(src, length)
-    seeds = a.groupBy("hash").agg(F.min("whole").alias("x"), F.max("whole").alias("y"), F.max("twice").alias("twice")).where("x <> y or twice").select("hash")
-    marks = a.select("hash", "id", "pos").join(seeds, "hash", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("seeds")).join(copies.select("id"), "id", "left_anti")
-    marked = written(src.join(marks, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("seeds").alias("seeds")), "marked")
-    win = windows(marked, length)
-    high = F.shiftright("rest", 32).alias("h2")
-    firsts = win.groupBy("h1", high).agg(F.min("id").alias("f"), F.max("id").alias("l")).where("f <> l").select("h1", "h2", "f")
-    bad = win.join(firsts, (win["h1"] == firsts["h1"]) & (F.shiftright(win["rest"], 32) == firsts["h2"])).where("id <> f").groupBy("id").agg(F.collect_list(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bad"))
-    cut = _cut(marked.drop("seeds").join(bad, "id", "left"), length)
-    none = F.array(F.array(F.lit(0).cast("long"), F.col("n_removed")))
-    return cut.union(copies.select("id", "n_removed", F.lit(""), none))
-
+            for i in range(len(batch)):
+                rows, places = _apart(_lists(batch, "seeds", i))
+                copies = set(_lists(batch, "copies", i, np.int32).tolist())
+                order = [_lists(batch, x, i) for x in ORDER]
+                for first, part in C.opened(K.column(batch, "rows")[i]):
+                    for at, to, data, off in K.slices(part):
+                        lo, hi = np.searchsorted(rows, (first + at, first + to))
+                        r, p = rows[lo:hi] - first - at, places[lo:hi]
+                        if copies:
+                            fine = np.array([first + at + int(x) not in copies for x in r], bool)
+                            r, p = r[fine], p[fine]
+                        if not len(r):
+                            continue
+                        w, _, _, b = K.word_hashes(data, off)
+                        h, start, text = K.gram_hashes(w, b, GRAM)
+                        a, s = _lowest(h, start, text, length)
+                        seed = np.zeros(len(w), bool)
+                        seed[b[r] + p] = True
+                        g, g2, starts, t, again = _windows(w, b, length)
+                        pick = np.searchsorted(starts, s[seed[a]])
+                        pick = pick[~again[pick]]
+                        rest = (g2[pick] << np.uint64(32)).view(np.int64) | (starts[pick] - b[t[pick]])
+                        yield pa.RecordBatch.from_arrays([pa.array(g[pick].view(np.int64)), pa.array(rest), *(pa.array(o[first + at + t[pick]]) for o in order)], ["h1", "rest", *ORDER])
+
+    return marked.select("rows", "seeds", "copies", *ORDER).mapInArrow(run, "h1 bigint, rest bigint, id bigint, tie bigint, row bigint")
+
+
+def _cut(marked: DataFrame, length: int, keep: list[S.StructField], texts: bool) -> DataFrame:
+    """For each row its columns `keep`, n_words, n_removed, sha of what is left, and if `texts` also kept (null if
+    nothing goes) and spans [from, to) of removed words. bad: starts of windows that other rows have earlier; copies: rows that lose all words."""
 
-def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 20) -> DataFrame:
-    """Documents that lose words: (key, n_removed, kept text, spans [from, to) of maximal repeats).
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                rows, places = _apart(_lists(batch, "bad", i))
+                copies = set(_lists(batch, "copies", i, np.int32).tolist())
+                n_words, own, sha = (_lists(batch, x, i) for x in ("n_words", "own", "sha"))
+                for first, part in C.opened(K.column(batch, "rows")[i]):
+                    removed, left, kept, spans = [0] * len(part), list(sha[first : first + len(part)]), [None] * len(part), [None] * len(part)
+                    for at, to, data, off in K.slices(part):
+                        lo, hi = np.searchsorted(rows, (first + at, first + to))
+                        r, p = rows[lo:hi] - first - at, places[lo:hi]
+                        bound = np.searchsorted(r, np.arange(to - at + 1))
+                        self_ = np.flatnonzero(own[first + at : first + to])
+                        starts = {int(k): p[bound[k] : bound[k + 1]] for k in np.unique(r)}
+                        if len(self_):
+                            w, _, _, b = K.word_hashes(data, off)
+                            _, _, s, t, again = _windows(w, b, length)
+                            s, t = s[again], t[again]
+                            for k in np.unique(t).tolist():
+                                starts[k] = np.concatenate([starts.get(k, np.zeros(0, np.int64)), s[t == k] - b[k]])
+                        for k in range(to - at):
+                            n = int(n_words[first + at + k])
+                            if first + at + k in copies:
+                                gone = np.ones(n, bool)
+                            elif k in starts:
+                                gone = K.covered(starts[k], length, n)
+                            else:
+                                continue
+                            words = data[off[k] : off[k + 1]].tobytes().split()
+                            rest = b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g])
+                            removed[at + k], left[at + k] = int(gone.sum()), hashlib.sha256(rest).digest()
+                            if texts:
+                                kept[at + k] = rest.decode("utf-8", "replace")
+                                spans[at + k] = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
+                    cols = [*(K.column(part, f.name) for f in keep), pa.array(n_words[first : first + len(part)]), pa.array(removed, pa.int64()), pa.array([x.hex() for x in left], pa.string())]
+                    more = [pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))] if texts else []
+                    yield pa.RecordBatch.from_arrays([*cols, *more], [f.name for f in kind.fields])
+
+    more = [S.StructField("kept", S.StringType()), S.StructField("spans", S.ArrayType(S.ArrayType(S.LongType())))] if texts else []
+    kind = S.StructType([*keep, S.StructField("n_words", S.LongType()), S.StructField("n_removed", S.LongType()), S.StructField("sha", S.StringType()), *more])
+    return marked.select("rows", "bad", "copies", "n_words", "own", "sha").mapInArrow(run, kind)
+
+
+def _by_chunk(df: DataFrame, row, place, out: str) -> DataFrame:
+    return df.groupBy("chunk").agg(F.collect_list(F.shiftleft(row.cast("bigint"), 32).bitwiseOR(place.cast("bigint"))).alias(out))
+
+
+def cut(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id", length: int = 20, texts: bool = True) -> DataFrame:
+    """A row for each row of docs: its columns `keep` as c0, c1, ..., n_words, n_removed, sha (of what is left), kept, spans.
 
     Words are runs of bytes other than space and 9 to 13, unchanged. A window is `length` (12 or
-    more) consecutive words of one document; every word is removed that a window covers whose word
-    sequence also starts earlier: under a smaller key, or earlier in the same document. What is left
-    is joined by single spaces. Null and empty texts have no words. Rows with a null key take no part.
-    Rows of one key count as one document with the smallest of their texts. Other columns of docs
-    are left behind.
+    more) consecutive words of one row; every word is removed that a window covers whose word
+    sequence also starts earlier: in an earlier row, or earlier in the same one. Rows come in the order
+    of their keys, null last; rows of one key, or of none, in the order of a hash of their texts, and equal
+    ones in any order. What is left is joined by single spaces. Null and empty texts have no words.
     """
     if length < GRAM + 4:
         raise ValueError(f"length must be {GRAM + 4} or more")
-    src = _source(docs, text, key)
-    return _repeated(src, written(_plain(src), "plain"), length).withColumnRenamed("id", key)
+    spark = docs.sparkSession
+    inner = [S.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    many = written(src.select("id").where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("many")), "many")
+    src = src.withColumn("again", F.col("id").isNull()) if many.isEmpty() else src.join(many, F.col("id") == F.col("many"), "left").withColumn("again", F.col("id").isNull() | F.col("many").isNotNull()).drop("many")
+    with bounded_batches(spark):
+        t = bucketed(chunks(src, length), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")), "texts")
+        rows = t.select("chunk", F.posexplode(F.arrays_zip(*ORDER, "n_words", "sha")).alias("at", "x")).select("chunk", "at", "x.*")
+        me = F.struct(*ORDER)
+        firsts = written(rows.where(F.col("n_words") >= length).groupBy("sha").agg(F.min(me).alias("f"), F.max(me).alias("l")).where("f <> l").select("sha", "f"), "firsts")
+        copies = written(rows.where(F.col("n_words") >= length).join(firsts, "sha").where(me != F.col("f")).groupBy("chunk").agg(F.collect_list("at").alias("copies")), "copies")
+        shared = t.select(F.inline(F.arrays_zip("hash", "whole", "twice"))).groupBy("hash").agg(F.min("whole").alias("x"), F.max("whole").alias("y"), F.max("twice").alias("twice"))
+        seeds = written(shared.where("x <> y or twice").select("hash"), "seeds")
+        places = t.select("chunk", F.inline(F.arrays_zip("hash", "at", "pos"))).join(seeds, "hash", "left_semi")
+        marks = written(_by_chunk(places, F.col("at"), F.col("pos"), "seeds"), "marks")
+        marked = t.join(marks.hint("shuffle_hash"), "chunk").join(copies.hint("shuffle_hash"), "chunk", "left")
+        win = windows(marked, length)
+        high = F.shiftright("rest", 32)
+        first = written(win.groupBy("h1", high.alias("h2")).agg(F.min(me).alias("f"), F.max(me).alias("l")).where("f <> l").select(F.col("h1").alias("g1"), "h2", "f"), "matches")
+        bad = win.join(first, (F.col("h1") == F.col("g1")) & (high == F.col("h2"))).where(me != F.col("f")).groupBy(*ORDER).agg(F.collect_list(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
+        where = rows.select("chunk", "at", *[F.col(c).alias(f"my_{c}") for c in ORDER])
+        at = bad.join(where, [F.col(c) == F.col(f"my_{c}") for c in ORDER]).select("chunk", "at", F.explode("starts").alias("start"))
+        bads = written(_by_chunk(at, F.col("at"), F.col("start"), "bad"), "bad")
+        every = t.join(bads.hint("shuffle_hash"), "chunk", "left").join(copies.hint("shuffle_hash"), "chunk", "left")
+        return written(_cut(every, length, inner, texts), "cut")
+
+
+def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 20) -> DataFrame:
+    """Rows that lose words: (key, n_removed, kept text, spans [from, to) of what maximal repeats cover). See cut()."""
+    return cut(docs, [key], text, key, length).where("n_removed > 0").select(F.col("c0").alias(key), "n_removed", "kept", "spans")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 20) -> DataFrame:
-    """docs with its repeated passages cut out; texts without any stay exactly as they are."""
-    cut = repeated(docs, text, key, length).select(F.col(key).alias("__key"), F.col("kept").alias("__kept"))
-    cols = [F.coalesce("__kept", F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return docs.join(cut, F.col(key) == F.col("__key"), "left").select(*cols)
+    """docs with its repeated passages cut out, row by row; texts without any stay exactly as they are. See cut()."""
+    j = cut(docs, docs.columns, text, key, length)
+    return j.select(*[(F.coalesce("kept", F.col(f"c{i}").cast("string")) if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8(docs: DataFrame, length: int = 20) -> DataFrame:
-    """The contract: windows of 20 words; a row for each document."""
-    src = _source(docs, "text", "doc_id")
-    plain = written(_plain(src), "plain")
-    cut = _repeated(src, plain, length).select("id", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-    return plain.join(cut, "id", "left").select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    """The contract: windows of 20 words; a row for each row of docs, null texts without words. See cut() for nulls and repeated keys."""
+    return cut(docs, ["doc_id"], length=length, texts=False).select(F.col("c0").alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
