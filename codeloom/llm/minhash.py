@@ -4,33 +4,41 @@ A signature has 32 symbols of 16 bits. It is split into 8 chunks of 4 symbols; t
 a distance of 15 symbols agree, by the pigeonhole principle, in all but at most one symbol of some
 chunk. Every chunk is therefore indexed under its 4 keys that leave one symbol out: all pairs within
 that distance meet under some key. At a similarity of 0.85 a pair is missed with a probability of
-2e-8 (all 8 chunks would need two errors or more). Candidates are confirmed on full shingle sets, by
+2e-8 (all 8 chunks would need two errors or more), at 0.8 of 1e-6. Pairs that meet and agree in at least
+AGREE symbols (a pair of 0.8 has fewer with a probability under 1e-9) are confirmed on full shingle sets, by
 64-bit hashes.
 
 No group of copies is expanded into pairs. Equal sets are one class. Each bucket first links its
-members to one hub; what these links connect is not compared again. Only buckets that still hold
-several components go on: once more with hubs drawn by hash, then in canopies, what such buckets
-connect. A canopy is dealt into blocks of bounded size, and each pair of blocks compares its members
-of different components, on whole signatures and then on full sets, and gives only links that join
+members to one hub; what these links connect is not compared again. Buckets that still hold several
+components go on: once more with hubs drawn by hash, then in full. There a bucket is dealt into blocks
+of bounded size, and each pair of blocks first compares signatures: of members of different components it
+keeps those that have a pair of their own here, that is, under the smallest key that the pair shares. Only these
+members' texts are fetched, and the pair of blocks confirms on full sets and gives only links that join
 components. So every link between different components is found, no pairs are written out, and no
 task gathers an unbounded group.
+
+Texts are written once, in chunks (chunks.py); only texts that have to be compared leave them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
+from . import chunks as C
 from . import kernels as K
-from .common import components, small_batches, written
+from .common import bounded_batches, bucketed, components, written
 
 SYMBOLS, CHUNKS = 32, 8
 WIDTH = SYMBOLS // CHUNKS
-DISTANCE = CHUNKS * 2 - 1
+#: Symbols that a pair must share to be confirmed.
+AGREE = 10
 SMALL_BUCKET = 32
-#: A block of a canopy holds about so many members or bytes of text.
+#: A block of a bucket holds about so many members, or so many bytes of text.
 BLOCK, BLOCK_BYTES = 512, 4_000_000
 _rng = np.random.default_rng(411)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,53 +57,97 @@ def signatures(h, bounds):
     return out
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, n_shingles, set_key, sig): set_key is a 128-bit digest of the shingle set, null if it is empty."""
+def chunks(src: DataFrame, shingle: int) -> DataFrame:
+    """A row for each chunk of src (id, text, and columns that are carried along): its rows, and arrays with an
+    entry for each row: its number, id, n_shingles, set_key (a 128-bit digest of the shingle set, null if it is empty) and sig."""
+
+    def one(parts):
+        name, first = C.name(), 0
+        out = {x: [] for x in ("row", "id", "n_shingles", "set_key", "sig")}
+        for p in parts:
+            for at, to, data, off in K.slices(p):
+                h, b = K.shingle_sets(data, off, shingle)
+                sig, size = signatures(h, b), np.diff(b)
+                x, y = (np.concatenate([[np.uint64(0)], np.cumsum(K.mix(h * _A[i]), dtype=np.uint64)]) for i in (0, 1))
+                key = np.stack([x[b[1:]] - x[b[:-1]], y[b[1:]] - y[b[:-1]]], 1).astype(np.uint64)
+                out["row"].append((K.mix(np.arange(first + at, first + to, dtype=np.uint64) + np.uint64(name)) >> np.uint64(1)).astype(np.int64))
+                out["id"].append(K.column(p, "id").slice(at, to - at))
+                out["n_shingles"].append(size.astype(np.int64))
+                out["set_key"] += [key[i].tobytes() if size[i] else None for i in range(to - at)]
+                out["sig"] += [sig[i].tobytes() for i in range(to - at)]
+            first += len(p)
+        cols = {"chunk": pa.array([name]), "rows": pa.array([C.stored(parts)], pa.binary()), "row": C.one_list(np.concatenate(out["row"])), "id": C.one_list(pa.concat_arrays(out["id"])), "n_shingles": C.one_list(np.concatenate(out["n_shingles"])), "set_key": C.one_list(out["set_key"], pa.binary()), "sig": C.one_list(out["sig"], pa.binary())}
+        return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    def run(batches):
+        yield from map(one, C.gathered(batches))
+
+    return src.mapInArrow(run, "chunk bigint, rows binary, row array<bigint>, id array<bigint>, n_shingles array<bigint>, set_key array<binary>, sig array<binary>")
+
+
+def fetched(wanted: DataFrame) -> DataFrame:
+    """(id, n_bytes, text) of chunk rows with `places`, structs (at, id): texts under the ids that are asked for."""
 
     def run(batches):
         for batch in batches:
-            for at, to, data, off in K.slices(batch):
-                h, b = K.shingle_sets(data, off, shingle)
-                sig = signatures(h, b)
-                p, q = (np.concatenate([[np.uint64(0)], np.cumsum(K.mix(h * _A[i]), dtype=np.uint64)]) for i in (0, 1))
-                key = np.stack([p[b[1:]] - p[b[:-1]], q[b[1:]] - q[b[:-1]]], 1).astype(np.uint64)
-                size = np.diff(b)
-                keys = [key[i].tobytes() if size[i] else None for i in range(to - at)]
-                sigs = [sig[i].tobytes() for i in range(to - at)]
-                yield pa.RecordBatch.from_arrays([K.column(batch, "id").slice(at, to - at), pa.array(size.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "set_key", "sig"])
+            for i in range(len(batch)):
+                v = K.column(batch, "places")[i].values
+                at, ids = v.field("at").to_numpy(), v.field("id").to_numpy()
+                order = np.argsort(at)
+                at, ids = at[order], ids[order]
+                for first, part in C.opened(K.column(batch, "rows")[i]):
+                    lo, hi = np.searchsorted(at, (first, first + len(part)))
+                    if hi > lo:
+                        text = K.column(part, "text").take(pa.array(at[lo:hi] - first))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pc.binary_length(text).cast(pa.int64()), text], ["id", "n_bytes", "text"])
+
+    return wanted.select("rows", "places").mapInArrow(run, "id bigint, n_bytes bigint, text string")
+
+
+def _keys(sig):
+    """int64 [texts, SYMBOLS]: for each chunk its 4 keys with one symbol left out; 3 symbols of 16 bits, chunk and gap."""
+    sig = sig.reshape(-1, CHUNKS, WIDTH).astype(np.int64)
+    keys = np.empty(sig.shape, np.int64)
+    for gap in range(WIDTH):
+        k = np.zeros(sig.shape[:2], np.int64)
+        for i in range(WIDTH):
+            if i != gap:
+                k = (k << 16) | sig[:, :, i]
+        keys[:, :, gap] = (k << 5) | (np.arange(CHUNKS) * WIDTH + gap)
+    return keys.reshape(-1, SYMBOLS)
 
-    return docs.mapInArrow(run, "id bigint, n_shingles bigint, set_key binary, sig binary")
+
+def _sigs(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
 def index_keys(reps: DataFrame) -> DataFrame:
-    """(key, id): for each chunk, its 4 keys with one symbol left out; 3 symbols of 16 bits, chunk and gap."""
+    """(key, id): the index entries of (id, sig)."""
 
     def run(batches):
         for batch in batches:
             n = len(batch)
             if not n:
                 continue
-            sig = np.frombuffer(b"".join(K.column(batch, "sig").to_pylist()), np.uint16).reshape(n, CHUNKS, WIDTH).astype(np.int64)
-            keys = np.empty((n, CHUNKS, WIDTH), np.int64)
-            for gap in range(WIDTH):
-                k = np.zeros((n, CHUNKS), np.int64)
-                for i in range(WIDTH):
-                    if i != gap:
-                        k = (k << 16) | sig[:, :, i]
-                keys[:, :, gap] = (k << 5) | (np.arange(CHUNKS) * WIDTH + gap)
+            keys = _keys(_sigs(K.column(batch, "sig")))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(K.column(batch, "id").to_numpy(), SYMBOLS))], ["key", "id"])
 
     return reps.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity: 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity: 100 * intersection >= percent * union. Signatures go first."""
+
+    def alike(batches):
+        for batch in batches:
+            if len(batch):
+                same = (_sigs(K.column(batch, "sig_a")) == _sigs(K.column(batch, "sig_b"))).sum(1) >= AGREE
+                yield pa.RecordBatch.from_arrays([K.column(batch, x).filter(pa.array(same)) for x in "ab"], ["a", "b"])
 
     def run(batches):
         for batch in batches:
             keep = []
-            ones = list(K.slices(batch, "text_a"))
-            for at, to, data, off in ones:
+            for at, to, data, off in K.slices(batch, "text_a"):
                 h, b = K.shingle_sets(data, off, shingle)
                 part = batch.slice(at, to - at)
                 for at2, to2, data2, off2 in K.slices(part, "text_b"):
@@ -107,21 +159,51 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             mask = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([pa.array(K.column(batch, x).to_numpy()[mask]) for x in "ab"], ["a", "b"])
 
+    sa, sb = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    some = written(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a bigint, b bigint"), "alike")
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return some.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _links(members, shingle: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join different components among the members of one block pair: no more than there are members."""
-    ids, comp, side = (members.field(x).to_numpy() for x in ("id", "comp", "side"))
-    n = len(ids)
-    sig = np.frombuffer(b"".join(members.field("sig").to_pylist()), np.uint16).reshape(n, SYMBOLS)
+def _near(key, sig, comp, side):
+    """[n, n], upper half: members of different components and blocks that agree enough, and share no smaller key."""
+    n = len(sig)
     same = np.zeros((n, n), np.uint8)
     for k in range(SYMBOLS):
         same += sig[:, None, k] == sig[None, :, k]
-    near = (same >= SYMBOLS - DISTANCE) & (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+    near = (same >= AGREE) & (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
     near = np.triu(near, 1)
     i, j = np.nonzero(near)
+    keys = _keys(sig)
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        least = np.where(keys[x] == keys[y], keys[x], np.iinfo(np.int64).max).min(1)
+        near[x, y] = least == key
+    return near
+
+
+def _needed(groups: DataFrame) -> DataFrame:
+    """(key, i, j, id, comp, side, sig): of the members (id, comp, side, sig) of pairs of blocks those that have a pair to confirm there."""
+
+    def run(batches):
+        for batch in batches:
+            for key, i, j, row in zip(*(K.column(batch, x).to_pylist() for x in ("key", "i", "j")), K.column(batch, "members"), strict=True):
+                m = row.values
+                near = _near(key, _sigs(m.field("sig")), m.field("comp").to_numpy(), m.field("side").to_numpy())
+                some = pa.array(np.flatnonzero(near.any(0) | near.any(1)))
+                if len(some):
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), *(m.field(x).take(some) for x in ("id", "comp", "side", "sig"))], ["key", "i", "j", "id", "comp", "side", "sig"])
+
+    return groups.mapInArrow(run, "key bigint, i int, j int, id bigint, comp bigint, side int, sig binary")
+
+
+def _links(key, members, shingle: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join different components among the members of one block pair: no more than there are members."""
+    ids, comp, side = (members.field(x).to_numpy() for x in ("id", "comp", "side"))
+    n = len(ids)
+    near = _near(key, _sigs(members.field("sig")), comp, side)
+    i, j = np.nonzero(near)
     if not len(i):
         return []
     used = np.unique(np.concatenate([i, j]))
@@ -164,67 +246,108 @@ def _links(members, shingle: int, percent: int) -> list[tuple[int, int]]:
 
 
 def _joining(groups: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """groups: rows with an array `members` of bounded size of (id, comp, side, sig, text); out: links (a, b)."""
+    """groups: rows (key, members), members of bounded number of (id, comp, side, sig, text); out: links (a, b)."""
 
     def run(batches):
         for batch in batches:
-            col = K.column(batch, "members")
-            found = [p for r in range(len(batch)) for p in _links(col[r].values, shingle, percent)]
+            found = [p for key, row in zip(K.column(batch, "key").to_pylist(), K.column(batch, "members"), strict=True) for p in _links(key, row.values, shingle, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return groups.select("members").mapInArrow(run, "a bigint, b bigint")
+    return groups.select("key", "members").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, percent: int = 85) -> DataFrame:
-    """One row for each row of docs: its key, n_shingles, set_key, component_id and kept.
-
-    Words are runs of bytes other than space and 9 to 13, with A-Z lower-cased; a set holds the
-    distinct shingles of `shingle` words, or the whole sequence where there are fewer words. Texts
-    that are null, empty or blank have empty sets and stand alone. Documents are linked if
-    100 * intersection >= percent * union (percent at least 80); component_id is the smallest key
-    reachable; kept says that it is the row's own. Rows with a null key are left out. Rows of one key
-    count as one document, give a row each, and are compared by the smallest of their texts. Other
-    columns of docs are left behind.
-    """
-    if percent < 80:
-        raise ValueError("the index is laid out for a similarity of 0.8 or more")
-    spark = docs.sparkSession
-    small_batches(spark)
-    src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    sk = written(sketches(src, shingle), "sketch")
-    classes = sk.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
-    classes = written(classes, "classes")
+def _linked(classes: DataFrame, texts_of, shingle: int, percent: int) -> DataFrame:
+    """(id, component) of classes (id, sig): all that links connect; texts_of gives (id, text) for a table of ids."""
     keys = index_keys(classes)
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = written(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     buckets = written(keys.join(hubs, "key"), "buckets")
-    ids = buckets.select("id").distinct()
-    texts = written(src.join(ids, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    sigs = classes.select("id", "sig")
+    texts = written(texts_of(buckets.select("id").distinct()), "texts")
 
     tried = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    edges = written(confirmed(tried, texts, shingle, percent), "links")
+    edges = written(confirmed(tried, sigs, texts, shingle, percent), "links")
     comp = written(components(edges), "components")
 
     mixed = written(_mixed(buckets, comp, SMALL_BUCKET), "mixed")
     if not mixed.isEmpty():
-        drawn = mixed.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("drawn"))
+        drawn = written(mixed.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("drawn")), "drawn")
         more = mixed.join(drawn, "key").where("id <> drawn").select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct()
-        edges = written(edges.union(confirmed(more, texts, shingle, percent)), "links")
+        edges = written(edges.union(confirmed(more, sigs, texts, shingle, percent)), "links")
         comp = written(components(edges), "components")
 
     rest = written(_mixed(buckets, comp, 2), "rest")
     if not rest.isEmpty():
-        head = rest.groupBy("key").agg(F.min("id").alias("a"))
-        canopy = written(components(rest.join(head, "key").select("a", F.col("id").alias("b"))), "canopies")
-        member = rest.groupBy("id").agg(F.first("comp").alias("comp")).join(canopy, "id").join(classes.select("id", "sig"), "id").join(texts, "id")
-        sizes = member.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-        dealt = member.join(sizes, "component").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sizes = written(rest.join(texts.select("id", "n_bytes"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
+        member = rest.join(sigs, "id").join(sizes, "key")
+        dealt = member.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1)
-        groups = dealt.groupBy("component", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("id", "comp", side.alias("side"), "sig", "text")).alias("members"))
-        edges = written(edges.union(_joining(groups, shingle, percent)), "links")
+        groups = dealt.groupBy("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("id", "comp", side.alias("side"), "sig")).alias("members"))
+        needed = written(_needed(groups), "needed")
+        full = needed.join(texts.select("id", "text"), "id").groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", "comp", "side", "sig", "text")).alias("members"))
+        edges = written(edges.union(_joining(full, shingle, percent)), "links")
         comp = written(components(edges), "components")
-    of_set = classes.join(comp, "id", "left").select("set_key", F.coalesce("component", "id").alias("c"))
-    out = sk.drop("sig").join(of_set, "set_key", "left").select("id", "n_shingles", "set_key", F.coalesce("c", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("component_id") == F.col("id")).withColumnRenamed("id", key)
+    return comp
+
+
+def compared(docs: DataFrame, keep: list[str], text: str, key: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the chunks, a row for each row of docs): chunk, at, id, n_shingles, set_key, component_id, and whether it is its component's first row.
+
+    Words are runs of bytes other than space and 9 to 13, with A-Z lower-cased; a set holds the
+    distinct shingles of `shingle` words, or the whole sequence where there are fewer words. Texts
+    that are null, empty or blank have empty sets and stand alone. Rows are linked if
+    100 * intersection >= percent * union (percent at least 80). Each row is compared by its own text,
+    also if its key is repeated or null. component_id is the smallest key reachable (null if
+    there is none but null); the first row is one of that key.
+    """
+    if percent < 80:
+        raise ValueError("the index is laid out for a similarity of 0.8 or more")
+    spark = docs.sparkSession
+    src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    t = bucketed(chunks(src, shingle), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")), "texts")
+    sk = t.select("chunk", F.posexplode(F.arrays_zip("row", "id", "n_shingles", "set_key", "sig")).alias("at", "x")).select("chunk", "at", "x.*")
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = sk.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("row", "chunk", "at")).alias("x"), F.any_value("sig").alias("sig"), F.min(best).alias("best"))
+    classes = written(classes.select("set_key", F.col("x.row").alias("id"), "x.chunk", "x.at", "sig", "best"), "classes")
+
+    def texts_of(ids):
+        places = classes.join(ids, "id").groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("places"))
+        return fetched(t.join(places.hint("shuffle_hash"), "chunk"))
+
+    comp = _linked(classes, texts_of, shingle, percent)
+    of_set = classes.join(comp, "id", "left").select("set_key", F.coalesce("component", "id").alias("c"), "best")
+    lead = of_set.groupBy("c").agg(F.min("best").alias("lead"))
+    verdict = written(of_set.join(lead, "c").select(F.col("set_key").alias("of"), "lead"), "verdict")
+    out = sk.drop("sig").join(verdict, F.col("set_key") == F.col("of"), "left")
+    alone = F.col("lead").isNull()
+    return t, out.select("chunk", "at", "id", "n_shingles", "set_key", F.when(alone, F.col("id")).otherwise(F.col("lead.id")).alias("component_id"), (alone | (F.col("lead.row") == F.col("row"))).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, percent: int = 85) -> DataFrame:
+    """One row for each row of docs: its key, n_shingles, set_key, component_id and kept (its key is component_id). See compared()."""
+    with bounded_batches(docs.sparkSession):
+        found = written(compared(docs, [], text, key, shingle, percent)[1], "found")
+    return found.select(F.col("id").alias(key), "n_shingles", "set_key", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component: of its smallest key, whatever rows that key has. See compared()."""
+    kind = S.StructType([S.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                v = K.column(batch, "gone")[i]
+                gone = v.values.to_numpy() if v.is_valid else np.zeros(0, np.int32)
+                for first, part in C.opened(K.column(batch, "rows")[i]):
+                    stay = np.ones(len(part), bool)
+                    stay[gone[(gone >= first) & (gone < first + len(part))] - first] = False
+                    yield pa.RecordBatch.from_arrays([K.column(part, f.name).filter(pa.array(stay)) for f in kind.fields], kind.names)
+
+    with bounded_batches(docs.sparkSession):
+        t, found = compared(docs, docs.columns, text, key, shingle, percent)
+        gone = found.where("not first").groupBy("chunk").agg(F.collect_list("at").alias("gone"))
+        out = written(t.select("chunk", "rows").join(gone.hint("shuffle_hash"), "chunk", "left").select("rows", "gone").mapInArrow(run, kind), "stay")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _mixed(buckets: DataFrame, comp: DataFrame, above: int) -> DataFrame:
@@ -235,5 +358,20 @@ def _mixed(buckets: DataFrame, comp: DataFrame, above: int) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    """The contract: 3-word shingles, a similarity of 0.85."""
+    """The contract: 3-word shingles, a similarity of 0.85. Null texts have no shingles and stand alone; for nulls and repeated keys see compared()."""
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def oracle(shingle: int = 3, percent: int = 85) -> str:
+    """DuckDB SQL for op4: shingles themselves, every pair that shares one, and what the links reach."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS i, w FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {shingle - 1}], ' ') AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT x AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(y) AS component_id, min(y) = x AS kept FROM r LEFT JOIN n ON n.doc_id = x GROUP BY x, n.n
+"""
