@@ -73,7 +73,7 @@ def _matrix(col, dim):
 
 
 def _index(rows: DataFrame, model, dim: int) -> DataFrame:
-    """(list, ids, rot, orig): chunks of about CHUNK vectors; a list of any length is many chunks."""
+    """(list, part, ids, rot, orig): chunks of about CHUNK vectors; a list of any length is many chunks."""
 
     def assign(batches):
         rotation, centroids, _ = model.value
@@ -94,13 +94,13 @@ def _index(rows: DataFrame, model, dim: int) -> DataFrame:
                 ids.append(i[o].tobytes())
                 rots.append(b"".join(np.ascontiguousarray(r[:, c : c + COLUMNS]).tobytes() for c in range(0, dim, COLUMNS)))
                 origs.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([K.column(batch, "list"), *(pa.array(x, pa.binary()) for x in (ids, rots, origs))], ["list", "ids", "rot", "orig"])
+            yield pa.RecordBatch.from_arrays([K.column(batch, "list"), K.column(batch, "part"), *(pa.array(x, pa.binary()) for x in (ids, rots, origs))], ["list", "part", "ids", "rot", "orig"])
 
     dealt = written(rows.mapInArrow(assign, "list int, id bigint, v array<double>"), "assigned")
-    sizes = dealt.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    salted = dealt.join(F.broadcast(sizes), "list")  # one row for each list, of at most 1024
+    sizes = written(dealt.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")), "sizes")
+    salted = dealt.join(sizes, "list")
     groups = salted.groupBy("list", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("members"))
-    return groups.select("list", "members").mapInArrow(blocks, "list int, ids binary, rot binary, orig binary")
+    return groups.select("list", F.col("part").cast("int").alias("part"), "members").mapInArrow(blocks, "list int, part int, ids binary, rot binary, orig binary")
 
 
 def scan_chunk(qid, q, floor, ids, rot, orig, rotation, k):
@@ -171,8 +171,10 @@ def _scan(chunks: DataFrame, probes: DataFrame, model, dim: int, k: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
     sizes = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    blocks = probes.join(F.broadcast(sizes), "list").groupBy("list", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("members"))
-    return chunks.join(blocks, "list").select("members", "ids", "rot", "orig").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    parts = chunks.groupBy("list").agg(F.max("part").alias("last"))
+    blocks = probes.join(sizes, "list").groupBy("list", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("members"))
+    every = blocks.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"), "members")  # a key holds one chunk, however long its list
+    return chunks.join(every, ["list", "part"]).select("members", "ids", "rot", "orig").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -185,8 +187,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "
 
     A query's own row (its key) is no candidate of its own. Vectors that are null, zero or hold null
     or non-finite components take no part, nor do null keys and vectors of another length than most
-    of the sample's. Ties go to the smaller key; rows of equal keys count once for a query, with
-    their best score. Empty tables give no rows. Other columns are left behind.
+    of the sample's (they have no inner product with the others). Ties go to the smaller key; rows of equal
+    keys count once for a query, with their best score, and once as a query, with the smallest of their vectors. Empty tables give no rows. Other columns are left behind.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -208,7 +210,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "
             order = np.argsort(-order_of(q @ rotation, centroids), axis=1, kind="stable")[:, :n].astype(np.int32)
             yield pa.RecordBatch.from_arrays([K.column(batch, "id"), K.column(batch, "v"), pa.array(list(order), pa.list_(pa.int32()))], ["query_id", "q", "lists"])
 
-    asked = usable(queries, key, vector).where(F.size("v") == dim).dropDuplicates(["id"])
+    asked = usable(queries, key, vector).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     asked = written(asked.mapInArrow(probe, "query_id bigint, q array<double>, lists array<int>"), "probes")
     first = asked.select(F.explode(F.slice("lists", 1, FIRST)).alias("list"), "query_id", "q", F.lit(float("-inf")).alias("floor"))
     one = written(_top(_scan(chunks, first, model, dim, k), k), "first")
@@ -219,4 +221,5 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "
 
 
 def op5(vectors: DataFrame) -> DataFrame:
+    """The contract: rows whose vec_id is divisible by 20 ask for their 20 nearest. See neighbours() for nulls and repeated keys."""
     return neighbours(vectors, vectors.where("vec_id % 20 = 0"))
