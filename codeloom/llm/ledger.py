@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from . import kernels as K
 from .common import small_batches
@@ -54,24 +55,26 @@ BASE_MASK = 0b11
 POLICIES = {1: BASE_MASK, 2: 0b1111111}
 
 
-def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The measurements of each row's whole text, and its key; other columns are left behind.
+def measure(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """The measurements of each row's whole text, after its key, or after its columns `keep` as c0, c1, ...
 
-    Null texts count as empty: every measurement is 0. Rows with equal keys give a row each. Words
+    Null texts count as empty: every measurement is 0. Rows with equal or null keys give a row each. Words
     are runs of bytes other than space and 9 to 13; windows are 8 words; lines are cut at newlines
     and count if they hold a word. Equality of windows and lines within a text is by 64-bit hash.
     """
     small_batches(docs.sparkSession)
+    cols = keep or [key]
+    inner = [S.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(cols)]
 
     def run(batches):
         for batch in batches:
             for at, to, data, off in K.slices(batch, "text"):
                 m = _measure(data, off)
-                yield pa.RecordBatch.from_arrays([K.column(batch, "key").slice(at, to - at), *(pa.array(m[x].astype(np.int64)) for x in MEASURES)], ["key", *MEASURES])
+                yield pa.RecordBatch.from_arrays([*(K.column(batch, f.name).slice(at, to - at) for f in inner), *(pa.array(m[x].astype(np.int64)) for x in MEASURES)], [*(f.name for f in inner), *MEASURES])
 
-    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{x} bigint" for x in MEASURES))
-    return out.withColumnRenamed("key", key)
+    kind = S.StructType([*inner, *(S.StructField(x, S.LongType()) for x in MEASURES)])
+    out = docs.select(*[F.col(c).alias(f.name) for c, f in zip(cols, inner, strict=True)], F.col(text).cast("string").alias("text")).mapInArrow(run, kind)
+    return out if keep else out.withColumnRenamed("c0", key)
 
 
 def _measure(data, off):
@@ -102,13 +105,22 @@ def _measure(data, off):
     return out
 
 
-def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id", rules=RULES) -> DataFrame:
-    """measure() and fail_bits, one bit for each failed rule."""
-    m = measure(docs, text, key)
+def _bits(measured: DataFrame, rules) -> DataFrame:
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return m.withColumn("fail_bits", bits)
+    return measured.withColumn("fail_bits", bits)
+
+
+def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id", rules=RULES) -> DataFrame:
+    """measure() and fail_bits, one bit for each failed rule."""
+    return _bits(measure(docs, text, key), rules)
+
+
+def screened(docs: DataFrame, version: int = 2, text: str = "text") -> DataFrame:
+    """The rows of docs that a policy keeps, with all their columns: each row by its own text, in one pass."""
+    led = _bits(measure(docs, text, keep=docs.columns), RULES).where(~rejected(version))
+    return led.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def rejected(version: int | None = None, mask: int | None = None) -> Column:
@@ -127,6 +139,27 @@ def ablation(led: DataFrame, mask: int, rules=RULES) -> DataFrame:
 
 
 def op3(docs: DataFrame, version: int = 2) -> DataFrame:
-    """The contract's columns: base measurements, base_failed, kept, and the ledger's bits."""
+    """The contract's columns: base measurements, base_failed, kept, and the ledger's bits. See measure() for nulls and repeated keys."""
     base = F.col("fail_bits").bitwiseAND(F.lit(BASE_MASK)) != 0
     return ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~rejected(version)).alias("kept"), "fail_bits", "n_shouts", "n_lines", "longest_word")
+
+
+def oracle(version: int = 2) -> str:
+    """DuckDB SQL for op3: words, lines and windows themselves, not hashes of them."""
+    word = r"[^\x20\x09-\x0D]"
+    bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+    count = "length(regexp_replace(t, '[^{}]', '', 'g'))"
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 8),
+k AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS k FROM g),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM k) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM again) GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS u FROM line WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST({count.format('#*$%&|<>')} AS BIGINT) AS n_symbols,
+  CAST(coalesce(lines.n - lines.u, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words, CAST({count.format('!?')} AS BIGINT) AS n_shouts, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS longest_word FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id)),
+b AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {BASE_MASK} <> 0 AS base_failed, fail_bits & {BASE_MASK | POLICIES[version]} = 0 AS kept, fail_bits, n_shouts, n_lines, longest_word FROM b
+"""

@@ -54,4 +54,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_sharding": sharding.oracle(), "op10_license_scan": licenses.oracle()}
+    return {"op3_quality_rules": ledger.oracle(), "op4_minhash_near_dedup": minhash.oracle(), "op8_substring_dedup": substring.oracle(), "op9_sharding": sharding.oracle(), "op10_license_scan": licenses.oracle()}

@@ -68,14 +68,24 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", names: tuple[str, ...
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    """The slot and shard of every row's doc_id; null keys share the slot of the empty string, repeated keys a shard."""
     return placed(docs.select("doc_id"))
 
 
 def oracle(slots: int = SLOTS, shards: int = SHARDS) -> str:
-    names = tuple(f"shard-{i:04d}" for i in range(shards))
-    owners = ",".join(str(i) for i in table(names, slots))
+    """DuckDB SQL for op9. It fills the table by itself: in turn, each shard takes the first slot of its order that is free."""
+    number = "CAST('0x' || substr(md5('{}:' || name), 1, 15) AS BIGINT)"
     return f"""
-WITH placed AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {slots} AS INTEGER) AS slot FROM documents),
-owners AS (SELECT string_split('{owners}', ',') AS o)
-SELECT doc_id, slot, 'shard-' || lpad(o[slot + 1], 4, '0') AS shard FROM placed, owners
+WITH RECURSIVE names AS (SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 4, '0') AS name FROM range({shards}) r(i)),
+pref AS (SELECT i, name, {number.format('offset')} % {slots} AS first, {number.format('step')} % {slots - 1} + 1 AS step FROM names),
+fill AS (
+  SELECT CAST(0 AS BIGINT) AS turn, first AS slot, set_bit(CAST(repeat('0', {slots}) AS BIT), CAST(first AS INTEGER), 1) AS taken FROM pref WHERE i = 0
+  UNION ALL
+  SELECT turn, slot, set_bit(taken, CAST(slot AS INTEGER), 1) FROM (
+    SELECT turn + 1 AS turn, arg_min((first + k * step) % {slots}, k) AS slot, taken FROM fill JOIN pref ON i = (turn + 1) % {shards}, range({slots}) r(k)
+    WHERE turn + 1 < {slots} AND get_bit(taken, CAST((first + k * step) % {slots} AS INTEGER)) = 0 GROUP BY turn, taken)
+),
+owner AS (SELECT slot, name FROM fill JOIN pref ON i = turn % {shards}),
+placed AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {slots} AS slot FROM documents)
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, name AS shard FROM placed JOIN owner USING (slot)
 """

@@ -45,6 +45,22 @@ def odd(spark):
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
+CLASH = ", c0 int, c1 string, id string, again int, row string, tie int, at int, chunk string, hash int, rid int, key int, seeds int, gone int, __key string, __kept string, __slot int, __n int, trusted int, bits int, n_words string, kept string, text_a string"
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Repeated keys with equal and unlike texts, null keys and texts, a text of 9 MB, and columns of names that operators use."""
+    rng = np.random.default_rng(8)
+    vocab = [f"{'verylongword' * 3}{i}" for i in range(3000)]
+    say = lambda n: " ".join(rng.choice(vocab, n))
+    a, b, c, long = say(70), say(70), say(50), say(230_000)
+    texts = [(1, a), (1, a), (1, a + " tail"), (2, a + " other end"), (2, b), (2, None), (3, b), (None, b), (None, b), (None, c), (None, None), (None, ""), (4, c + "\n" + c), (5, long), (6, long[:9000]), (-7, c), (8, "short one"), (8, "short one"), ((1 << 63) - 1, a)]
+    extra = [None] * len(CLASH.split(",")[1:])
+    rows = [(k, t, "en", "s", None if t is None else len(t), *extra) for k, t in texts]
+    return spark.createDataFrame(rows, DOCS.replace(", key string, sig int, label int", "") + CLASH).repartition(4)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -119,6 +135,20 @@ def test_near_duplicates(odd, docs, nothing):
         minhash.near_duplicates(docs, percent=50)
 
 
+def test_near_duplicates_of_repeated_keys(hard):
+    rows = [(r.doc_id, r.text) for r in hard.collect()]
+    for shingle, percent in ((3, 85), (5, 80)):
+        sets, comp = brute_components(dict(enumerate(t for _, t in rows)), shingle, percent)
+        least = {c: min((rows[i][0] for i in comp if comp[i] == c and rows[i][0] is not None), default=None) for c in set(comp.values())}
+        want = sorted((str(k), len(sets[i]), str(least[comp[i]]), least[comp[i]] == k) for i, (k, _) in enumerate(rows))
+        got = minhash.near_duplicates(hard, shingle=shingle, percent=percent).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == want
+    out = minhash.deduplicated(hard)
+    assert out.dtypes == hard.dtypes
+    stay = out.collect()
+    assert len(stay) == len(set(comp.values())) and sorted(str(r.doc_id) for r in stay) == sorted(str(x) for x in least.values())
+
+
 def test_near_duplicates_in_blocks(spark):
     """A star of near copies: the centre is not the smallest id, and copies are no links of each other."""
     rng = np.random.default_rng(5)
@@ -136,25 +166,46 @@ def test_near_duplicates_in_blocks(spark):
     assert got == comp
 
 
-def test_substrings(odd, docs, nothing):
-    for texts, d in both(odd, docs):
-        seen = set()
-        got = {r.doc_id: r for r in substring.op8(d).collect()}
-        assert len(got) == len(texts)
-        for k in sorted(texts):
-            w = words(texts[k])
-            gone = set()
-            for i in range(len(w) - 19):
-                x = tuple(w[i : i + 20])
-                if x in seen:
-                    gone.update(range(i, i + 20))
-                seen.add(x)
-            left = " ".join(x for i, x in enumerate(w) if i not in gone)
-            r = got[k]
-            assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(left.encode()).hexdigest())
+def text_hash(t):
+    """What orders rows of one key."""
+    raw = np.frombuffer((t or "").encode(), np.uint8)
+    return int(kernels.run_hash(kernels.byte_prefix(raw), np.array([0]), np.array([len(raw)]))[0] >> np.uint64(1))
+
+
+def brute_cuts(rows, n=20):
+    """[(key, n_words, n_removed, what is left)] of rows (key, text), in the order of keys and texts."""
+    again = Counter(k for k, _ in rows)
+    seen, out = set(), []
+    for k, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, text_hash(r[1]) if r[0] is None or again[r[0]] > 1 else 0)):
+        w = words(t)
+        gone, reach = np.zeros(len(w), bool), 0
+        for i in range(len(w) - n + 1):
+            x = hash(tuple(w[i : i + n]))
+            if x in seen:
+                gone[max(i, reach) : i + n] = True
+                reach = i + n
+            seen.add(x)
+        out.append((k, len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)))
+    return out
+
+
+def test_substrings(odd, docs, hard, nothing):
+    for d in (odd, docs, hard):
+        rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+        want = sorted((str(k), n, m, hashlib.sha256(t.encode()).hexdigest()) for k, n, m, t in brute_cuts(rows))
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.op8(d).collect()) == want
     assert substring.op8(nothing).count() == 0
-    out = {r.doc_id: r.text for r in substring.deduplicated(odd).collect()}
-    assert out[0] is None and set(substring.deduplicated(odd).columns) == set(odd.columns)
+    out = substring.deduplicated(hard)
+    assert out.dtypes == hard.dtypes
+    want = sorted((str(k), t) for k, _, m, t in brute_cuts([(r.doc_id, r.text) for r in hard.collect()]) if m)
+    got = sorted((str(r.doc_id), r.kept) for r in substring.repeated(hard).collect())
+    assert got == want
+    untouched = [(k, m) for k, _, m, _ in brute_cuts([(r.doc_id, r.text) for r in hard.collect()]) if not m]
+    assert len([1 for r in out.collect() if r.text is None or (r.doc_id, r.text) in {(x.doc_id, x.text) for x in hard.collect()}]) >= len(untouched)
+    for r in substring.repeated(odd).collect():
+        w = words({x.doc_id: x.text for x in odd.collect()}[r.doc_id])
+        gone = {i for a, b in r.spans for i in range(a, b)}
+        assert " ".join(x for i, x in enumerate(w) if i not in gone) == r.kept and len(gone) == r.n_removed
 
 
 def test_bpe(odd, docs, nothing):
@@ -430,24 +481,89 @@ def test_kernels():
     assert [bytes(data[x:y]) for x, y in zip(s, e, strict=True)] == [b"ab", b"c", b"d"] and b.tolist() == [0, 1, 1, 3]
 
 
-def test_pipeline(spark):
+def test_repeated_and_null_keys(hard):
+    """Rows of one key, or of none, are rows of their own; other columns do no harm."""
+    from tokenizers import Tokenizer
+
+    rows = [(r.doc_id, r.text or "") for r in hard.collect()]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    sha = lambda ids: hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert sorted((str(r.doc_id), r.ids_sha256) for r in bpe.coded(hard, path).collect()) == sorted((str(k), sha(lib.encode(t, add_special_tokens=False).ids)) for k, t in rows)
+    led = ledger.op3(hard).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars) for r in led) == sorted((str(k), len(words(t)), sum(map(len, words(t)))) for k, t in rows)
+    kept = ledger.screened(hard)
+    assert kept.dtypes == hard.dtypes and kept.count() == sum(r.kept for r in led)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    ids = [(k, lib.encode(t, add_special_tokens=False).ids) for k, t in rows]
+    pieces = packing.pack(hard, path).collect()
+    total = Counter()
+    for k, x in ids:
+        total[k] += len(x) + 1
+    mine, seqs = Counter(), {}
+    for r in pieces:
+        mine[r.doc_id] += r.length
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert mine == total
+    for s, parts in seqs.items():
+        end = 0
+        for off, n in sorted(parts):
+            assert off == end
+            end += n
+        assert end == 2048 or s == max(seqs)
+    planes = bitplane.round_trip(hard, path).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in planes) == sorted((str(k), len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4"))) for k, x in ids)
+    end = 0
+    for r in sorted(planes, key=lambda r: r.start):
+        assert r.start == end
+        end += r.n_tokens
+    placed = sharding.op9(hard).collect()
+    assert len(placed) == len(rows) and len({r.shard for r in placed if r.doc_id is None}) == 1
+
+
+def test_neighbours_of_repeated_keys(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (None, [9.0, 9.0]), (3, [1.0, 2.0, 3.0])]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("list", F.lit(1)).withColumn("q", F.lit("x"))
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.op5(d).orderBy("rank").collect()]
+    assert got == [(20, 1, 2, 3.0), (20, 2, 1, 1.0)]
+
+
+def test_pipeline(spark, hard):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_classifier", "quality_rules", "near_dedup", "substring_dedup", "packing"]
-    kept, texts = docs, {r.doc_id: r.text for r in docs.collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, kept, SF)
-        assert out.dtypes == docs.dtypes
-        kept = spark.createDataFrame(out.collect(), docs.schema)
-        now = {r.doc_id: r.text for r in kept.collect()}
-        if name == "near_dedup":
-            _, comp = brute_components(texts, 5, 80)
-            assert set(now) == {k for k in texts if comp[k] == k}
-        elif name == "quality_rules":
-            assert set(now) == {r.doc_id for r in ledger.ledger(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).where(~ledger.rejected(2)).collect()}
-        texts = now
-    ids = byte_ids(texts, 1)
-    packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    assert {r.doc_id: r.n for r in packed} == {k: len(x) for k, x in ids.items()}
+    for start in (docs, docs.union(hard.select(docs.columns).where("octet_length(coalesce(text, '')) < 1000000"))):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = [(r.doc_id, r.text, r.n_chars) for r in kept.collect()]
+            out = stage(spark, kept, SF)
+            assert out.dtypes == docs.dtypes
+            after = out.collect()
+            now = Counter((r.doc_id, r.text) for r in after)
+            if name == "quality_classifier":
+                assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in quality_lm.classify(kept, labels).where("kept").collect())
+                assert not now - Counter((k, t) for k, t, _ in before)
+            elif name == "quality_rules":
+                led = ledger.ledger(spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(before)], "doc_id bigint, text string"))
+                assert now == Counter(before[r.doc_id][:2] for r in led.where(~ledger.rejected(2)).collect())
+            elif name == "near_dedup":
+                _, comp = brute_components(dict(enumerate(t for _, t, _ in before)), 5, 80)
+                least = [min((before[i][0] for i in comp if comp[i] == c and before[i][0] is not None), default=None) for c in set(comp.values())]
+                assert Counter(r.doc_id for r in after) == Counter(least) and not now - Counter((k, t) for k, t, _ in before)
+            else:
+                want = brute_cuts([(k, t) for k, t, _ in before])
+                loses = {(k, n, m) for k, n, m, _ in want if m}
+                assert sorted((str(r.doc_id), " ".join(words(r.text))) for r in after) == sorted((str(k), t) for k, _, _, t in want)
+                assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in after) and loses
+            kept = spark.createDataFrame(after, docs.schema)
+        rows = [(r.doc_id, r.text) for r in kept.collect()]
+        ids = byte_ids(dict(enumerate(t for _, t in rows)), 1)
+        total = Counter()
+        for i, (k, _) in enumerate(rows):
+            total[k] += len(ids[i])
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+        assert {r.doc_id: r.n for r in packed} == dict(total)
