@@ -14,31 +14,26 @@ from codeloom.llm import ledger, minhash, packing, quality_lm, substring
 from codeloom.llm.common import table, written
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone; rows with a null doc_id stay."""
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")).hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is over their language's limit go: each row by its own text, whatever its key."""
     return quality_lm.screened(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy rejects go."""
-    return without(docs, ledger.ledger(docs).where(ledger.rejected(2)))
+    """Documents that the policy rejects go: each row by its own text, whatever its key."""
+    return ledger.screened(docs, 2)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 of their 5-word shingles, the one of smallest doc_id stays."""
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    return without(docs, found.where("not kept"))
+    """Of documents linked by a similarity of 0.8 of their 5-word shingles, one row of the smallest doc_id stays."""
+    return minhash.deduplicated(docs, shingle=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 words or more that occur earlier are cut out; n_chars follows where a text changes."""
-    cut = substring.deduplicated(docs.withColumn("__old", F.length("text")))
-    return cut.withColumn("n_chars", F.when(F.length("text") == F.col("__old"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    """Passages of 20 words or more that occur earlier are cut out, row by row; n_chars follows where a text changes."""
+    old = max(docs.columns, key=len) + "_"  # no column's name
+    cut = substring.deduplicated(docs.withColumn(old, F.length("text")))
+    return cut.withColumn("n_chars", F.when(F.length("text").eqNullSafe(F.col(old)), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages over all documents, each written to the shared folder and read again: a row for each piece of a sequence.
+
+    Every stage judges rows, not keys, so repeated and null doc_ids keep their own verdicts. Null texts
+    pass the classifier and go by the rules (few words); empty tables give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
