@@ -123,77 +123,83 @@ def _apart(packed):
     return packed >> 32, packed & 0xFFFFFFFF
 
 
-def windows(marked: DataFrame, length: int) -> DataFrame:
-    """(h1, rest, id, tie, row): the windows that each chunk's seeds grow to, each once for a text; rest is 32 bits of hash and the start."""
+def _some(part, rows):
+    """Slices of the texts of some rows (sorted, distinct) of a batch: (the rows' places in `rows`: first and end, bytes, offsets)."""
+    return K.slices(pa.RecordBatch.from_arrays([K.column(part, "text").take(pa.array(rows, pa.int64()))], ["text"]))
+
+
+def windows(marked: DataFrame, length: int, order: list[str]) -> DataFrame:
+    """(h1, rest, and the row's order): the windows that each chunk's seeds grow to, each once for a text; rest is 32 bits of hash and the start.
+
+    Only texts that hold a seed and are no copy are read again.
+    """
 
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
                 rows, places = _apart(_lists(batch, "seeds", i))
-                copies = set(_lists(batch, "copies", i, np.int32).tolist())
-                order = [_lists(batch, x, i) for x in ORDER]
+                fine = ~np.isin(rows, _lists(batch, "copies", i, np.int32))
+                rows, places = rows[fine], places[fine]
+                mine = [_lists(batch, x, i) for x in order]
                 for first, part in C.opened(K.column(batch, "rows")[i]):
-                    for at, to, data, off in K.slices(part):
-                        lo, hi = np.searchsorted(rows, (first + at, first + to))
-                        r, p = rows[lo:hi] - first - at, places[lo:hi]
-                        if copies:
-                            fine = np.array([first + at + int(x) not in copies for x in r], bool)
-                            r, p = r[fine], p[fine]
-                        if not len(r):
-                            continue
+                    lo, hi = np.searchsorted(rows, (first, first + len(part)))
+                    used, r = np.unique(rows[lo:hi], return_inverse=True)
+                    for at, to, data, off in _some(part, used - first):
+                        x, y = np.searchsorted(r, (at, to))
                         w, _, _, b = K.word_hashes(data, off)
                         h, start, text = K.gram_hashes(w, b, GRAM)
                         a, s = _lowest(h, start, text, length)
                         seed = np.zeros(len(w), bool)
-                        seed[b[r] + p] = True
+                        seed[b[r[x:y] - at] + places[lo:hi][x:y]] = True
                         g, g2, starts, t, again = _windows(w, b, length)
                         pick = np.searchsorted(starts, s[seed[a]])
                         pick = pick[~again[pick]]
                         rest = (g2[pick] << np.uint64(32)).view(np.int64) | (starts[pick] - b[t[pick]])
-                        yield pa.RecordBatch.from_arrays([pa.array(g[pick].view(np.int64)), pa.array(rest), *(pa.array(o[first + at + t[pick]]) for o in order)], ["h1", "rest", *ORDER])
+                        yield pa.RecordBatch.from_arrays([pa.array(g[pick].view(np.int64)), pa.array(rest), *(pa.array(o[used[at + t[pick]]]) for o in mine)], ["h1", "rest", *order])
 
-    return marked.select("rows", "seeds", "copies", *ORDER).mapInArrow(run, "h1 bigint, rest bigint, id bigint, tie bigint, row bigint")
+    return marked.select("rows", "seeds", "copies", *order).mapInArrow(run, "h1 bigint, rest bigint, " + ", ".join(f"{x} bigint" for x in order))
 
 
 def _cut(marked: DataFrame, length: int, keep: list[S.StructField], texts: bool) -> DataFrame:
     """For each row its columns `keep`, n_words, n_removed, sha of what is left, and if `texts` also kept (null if
     nothing goes) and spans [from, to) of removed words. bad: starts of windows that other rows have earlier; copies: rows that lose all words."""
+    empty = hashlib.sha256(b"").digest()
 
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
                 rows, places = _apart(_lists(batch, "bad", i))
-                copies = set(_lists(batch, "copies", i, np.int32).tolist())
                 n_words, own, sha = (_lists(batch, x, i) for x in ("n_words", "own", "sha"))
+                copies = _lists(batch, "copies", i, np.int32)
+                copy = np.zeros(len(n_words), bool)
+                copy[copies] = True
                 for first, part in C.opened(K.column(batch, "rows")[i]):
-                    removed, left, kept, spans = [0] * len(part), list(sha[first : first + len(part)]), [None] * len(part), [None] * len(part)
-                    for at, to, data, off in K.slices(part):
-                        lo, hi = np.searchsorted(rows, (first + at, first + to))
-                        r, p = rows[lo:hi] - first - at, places[lo:hi]
-                        bound = np.searchsorted(r, np.arange(to - at + 1))
-                        self_ = np.flatnonzero(own[first + at : first + to])
-                        starts = {int(k): p[bound[k] : bound[k + 1]] for k in np.unique(r)}
-                        if len(self_):
-                            w, _, _, b = K.word_hashes(data, off)
-                            _, _, s, t, again = _windows(w, b, length)
-                            s, t = s[again], t[again]
-                            for k in np.unique(t).tolist():
-                                starts[k] = np.concatenate([starts.get(k, np.zeros(0, np.int64)), s[t == k] - b[k]])
-                        for k in range(to - at):
-                            n = int(n_words[first + at + k])
-                            if first + at + k in copies:
-                                gone = np.ones(n, bool)
-                            elif k in starts:
-                                gone = K.covered(starts[k], length, n)
-                            else:
-                                continue
-                            words = data[off[k] : off[k + 1]].tobytes().split()
+                    end = first + len(part)
+                    removed, left, kept, spans = [0] * len(part), list(sha[first:end]), [None] * len(part), [None] * len(part)
+                    for k in np.flatnonzero(copy[first:end]).tolist():
+                        n = int(n_words[first + k])
+                        removed[k], left[k], kept[k], spans[k] = n, empty, "", [[0, n]]
+                    lo, hi = np.searchsorted(rows, (first, end))
+                    starts = {k: [places[lo:hi][x:y]] for k, x, y in _groups(rows[lo:hi] - first)}
+                    alone = np.flatnonzero(own[first:end] & ~copy[first:end])
+                    for at, _, data, off in _some(part, alone):
+                        w, _, _, b = K.word_hashes(data, off)
+                        _, _, s, t, again = _windows(w, b, length)
+                        s, t = s[again], t[again]
+                        for k, x, y in _groups(t):
+                            starts.setdefault(int(alone[at + k]), []).append(s[x:y] - b[k])
+                    lose = np.array(sorted(starts), np.int64)
+                    for at, to, data, off in _some(part, lose):
+                        for k in range(at, to):
+                            r = int(lose[k])
+                            words = data[off[k - at] : off[k - at + 1]].tobytes().split()
+                            gone = K.covered(np.concatenate(starts[r]), length, len(words))
                             rest = b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g])
-                            removed[at + k], left[at + k] = int(gone.sum()), hashlib.sha256(rest).digest()
+                            removed[r], left[r] = int(gone.sum()), hashlib.sha256(rest).digest()
                             if texts:
-                                kept[at + k] = rest.decode("utf-8", "replace")
-                                spans[at + k] = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
-                    cols = [*(K.column(part, f.name) for f in keep), pa.array(n_words[first : first + len(part)]), pa.array(removed, pa.int64()), pa.array([x.hex() for x in left], pa.string())]
+                                kept[r] = rest.decode("utf-8", "replace")
+                                spans[r] = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
+                    cols = [*(K.column(part, f.name) for f in keep), pa.array(n_words[first:end]), pa.array(removed, pa.int64()), pa.array([x.hex() for x in left], pa.string())]
                     more = [pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))] if texts else []
                     yield pa.RecordBatch.from_arrays([*cols, *more], [f.name for f in kind.fields])
 
@@ -202,6 +208,12 @@ def _cut(marked: DataFrame, length: int, keep: list[S.StructField], texts: bool)
     return marked.select("rows", "bad", "copies", "n_words", "own", "sha").mapInArrow(run, kind)
 
 
+def _groups(sorted_):
+    """(value, from, to) of each run of equal values."""
+    u, at = np.unique(sorted_, return_index=True)
+    return zip(u.tolist(), at.tolist(), np.append(at[1:], len(sorted_))[: len(u)].tolist(), strict=True)
+
+
 def _by_chunk(df: DataFrame, row, place, out: str) -> DataFrame:
     return df.groupBy("chunk").agg(F.collect_list(F.shiftleft(row.cast("bigint"), 32).bitwiseOR(place.cast("bigint"))).alias(out))
 
@@ -224,8 +236,10 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id
     src = src.withColumn("again", F.col("id").isNull()) if many.isEmpty() else src.join(many, F.col("id") == F.col("many"), "left").withColumn("again", F.col("id").isNull() | F.col("many").isNotNull()).drop("many")
     with bounded_batches(spark):
         t = bucketed(chunks(src, length), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")), "texts")
-        rows = t.select("chunk", F.posexplode(F.arrays_zip(*ORDER, "n_words", "sha")).alias("at", "x")).select("chunk", "at", "x.*")
-        me = F.struct(*ORDER)
+        # without repeated or null keys the key alone is the order
+        order = ["id"] if many.isEmpty() and src.where("id is null").isEmpty() else ORDER
+        me = F.struct(*order) if len(order) > 1 else F.col("id")
+        rows = t.select("chunk", F.posexplode(F.arrays_zip(*order, "n_words", "sha")).alias("at", "x")).select("chunk", "at", "x.*")
         firsts = written(rows.where(F.col("n_words") >= length).groupBy("sha").agg(F.min(me).alias("f"), F.max(me).alias("l")).where("f <> l").select("sha", "f"), "firsts")
         copies = written(rows.where(F.col("n_words") >= length).join(firsts, "sha").where(me != F.col("f")).groupBy("chunk").agg(F.collect_list("at").alias("copies")), "copies")
         shared = t.select(F.inline(F.arrays_zip("hash", "whole", "twice"))).groupBy("hash").agg(F.min("whole").alias("x"), F.max("whole").alias("y"), F.max("twice").alias("twice"))
@@ -233,12 +247,12 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id
         places = t.select("chunk", F.inline(F.arrays_zip("hash", "at", "pos"))).join(seeds, "hash", "left_semi")
         marks = written(_by_chunk(places, F.col("at"), F.col("pos"), "seeds"), "marks")
         marked = t.join(marks.hint("shuffle_hash"), "chunk").join(copies.hint("shuffle_hash"), "chunk", "left")
-        win = windows(marked, length)
+        win = written(windows(marked, length, order), "windows")
         high = F.shiftright("rest", 32)
         first = written(win.groupBy("h1", high.alias("h2")).agg(F.min(me).alias("f"), F.max(me).alias("l")).where("f <> l").select(F.col("h1").alias("g1"), "h2", "f"), "matches")
-        bad = win.join(first, (F.col("h1") == F.col("g1")) & (high == F.col("h2"))).where(me != F.col("f")).groupBy(*ORDER).agg(F.collect_list(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
-        where = rows.select("chunk", "at", *[F.col(c).alias(f"my_{c}") for c in ORDER])
-        at = bad.join(where, [F.col(c) == F.col(f"my_{c}") for c in ORDER]).select("chunk", "at", F.explode("starts").alias("start"))
+        bad = win.join(first, (F.col("h1") == F.col("g1")) & (high == F.col("h2"))).where(me != F.col("f")).groupBy(*order).agg(F.collect_list(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
+        where = rows.select("chunk", "at", *[F.col(c).alias(f"my_{c}") for c in order])
+        at = bad.join(where, [F.col(c) == F.col(f"my_{c}") for c in order]).select("chunk", "at", F.explode("starts").alias("start"))
         bads = written(_by_chunk(at, F.col("at"), F.col("start"), "bad"), "bad")
         every = t.join(bads.hint("shuffle_hash"), "chunk", "left").join(copies.hint("shuffle_hash"), "chunk", "left")
         return written(_cut(every, length, inner, texts), "cut")
@@ -258,3 +272,18 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
 def op8(docs: DataFrame, length: int = 20) -> DataFrame:
     """The contract: windows of 20 words; a row for each row of docs, null texts without words. See cut() for nulls and repeated keys."""
     return cut(docs, ["doc_id"], length=length, texts=False).select(F.col("c0").alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
+
+
+def oracle(length: int = 20) -> str:
+    """DuckDB SQL for op8: windows themselves, and the first place of each."""
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(w) - {length - 2})) AS i, w FROM w WHERE len(w) >= {length}),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + {length - 1}], ' ') AS x FROM i),
+bad AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS r FROM x) WHERE r > 1),
+gone AS (SELECT doc_id, list(DISTINCT j) AS g FROM (SELECT doc_id, unnest(range(i, i + {length})) AS j FROM bad) GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w SEMI JOIN gone USING (doc_id)),
+lost AS (SELECT doc_id, unnest(g) AS j FROM gone),
+left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t FROM word ANTI JOIN lost USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN left_ USING (doc_id)
+"""
