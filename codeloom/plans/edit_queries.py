@@ -162,7 +162,7 @@ def line_f1_scores(t, spark):
     rows = [(1, ["a", "b"], ["a", "b "]), (2, ["a", "c"], ["a", "b"]), (3, [], ["a"]), (4, [], []), (5, ["b", "a"], ["a", "b"])]
     d = spark.createDataFrame(rows, "id int, pred array<string>, target array<string>")
     p, g = F.col("pred"), F.col("target")
-    return d.select("id", metrics.exact(p, g).alias("exact"), metrics.first_line(p, g).alias("first_line"), metrics.line_f1(p, g).alias("f1"), metrics.reward(p, g).alias("reward"))
+    return d.select("id", metrics.exact(p, g).alias("exact"), metrics.first_line(p, g).alias("first_line"), metrics.line_f1(p, g).alias("f1"), metrics.exact_reward(p, g).alias("reward"))
 
 
 @query("SELECT * FROM (VALUES (1, 'x|  y'), (2, 'a'), (3, '')) AS v(id, lines)")
