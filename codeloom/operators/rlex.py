@@ -148,7 +148,7 @@ def seq_along(source: str) -> Iterator[dict]:
     for k in range(len(c) - 3):
         a, b, f, p = (t[c[k + i]] for i in range(4))
         before = t[c[k - 1]].text if k else ""
-        if a.text in ("1", "1L") and b.text == ":" and f.text in ("length", "nrow", "ncol") and p.text == "(" and p.mate >= 0 and before not in ("-", "+", "*", "/", "^", ":"):
+        if a.text in ("1", "1L") and b.text == ":" and f.text in ("length", "nrow", "ncol", "NROW", "NCOL") and p.text == "(" and p.mate >= 0 and before not in ("-", "+", "*", "/", "^", ":"):
             inner = source[p.at + 1 : t[p.mate].at]
             yield _site(a, t[p.mate].at + 1, "seq_along_replace", f"seq_along({inner})" if f.text == "length" else f"seq_len({f.text}({inner}))")
 
@@ -215,6 +215,57 @@ def bare_na(source: str) -> Iterator[dict]:
             yield _site(f, t[p.mate].at, "na_rm", source[f.at : t[p.mate].at] + ", na.rm = TRUE")
 
 
+def stopifnot_named(source: str) -> Iterator[dict]:
+    """if (!cond) stop("text") as stopifnot("text" = cond): guards of up to three lines, with no else and one string at most."""
+    t = lex(source)
+    c = code(t)
+    for k in range(len(c) - 3):
+        i, p, bang = (t[c[k + n]] for n in range(3))
+        if i.text != "if" or p.text != "(" or p.mate < 0 or bang.text != "!":
+            continue
+        rest = [x for x in c if x > p.mate]
+        brace = bool(rest) and t[rest[0]].text == "{"
+        at = rest[1:] if brace else rest
+        if len(at) < 3 or t[at[0]].text != "stop" or t[at[1]].text != "(" or t[at[1]].mate < 0:
+            continue
+        inner = [x for x in at if at[1] < x < t[at[1]].mate]
+        end = t[t[at[1]].mate]
+        after = [x for x in at if x > t[at[1]].mate]
+        if brace:
+            if not after or t[after[0]].text != "}":
+                continue
+            end, after = t[after[0]], after[1:]
+        whole = re.fullmatch(r"!\s*(.+)", source[p.at + 1 : t[p.mate].at].strip(), re.S)
+        simple = all(x.depth > bang.depth or x.kind not in ("op",) or x.text in ("$", "@", "::", "!") for x in (t[j] for j in c if c[k + 1] < j < p.mate))
+        if len(inner) > 1 or (inner and t[inner[0]].kind != "string") or (after and t[after[0]].text == "else") or end.line - i.line > 2 or not whole or not simple:
+            continue
+        message = f"{t[inner[0]].text} = " if inner else ""
+        yield _site(i, end.at + len(end.text), "stopifnot_named", f"stopifnot({message}{whole.group(1)})")
+
+
+MASKED = ("filter", "mutate", "summarise", "summarize", "arrange", "group_by", "transmute", "reframe", "count", "distinct", "slice_max", "slice_min", "aes", "if_else", "case_when")
+
+
+def data_pronoun(source: str) -> Iterator[dict]:
+    """.data$name as name, within a call that masks data."""
+    t = lex(source)
+    c = code(t)
+    masked = [(c[k + 1], t[c[k + 1]].mate) for k in range(len(c) - 1) if t[c[k]].text in MASKED and t[c[k + 1]].text == "(" and t[c[k + 1]].mate >= 0]
+    for k in range(len(c) - 2):
+        a, d, n = (t[c[k + i]] for i in range(3))
+        before = t[c[k - 1]].text if k else ""
+        if a.text == ".data" and d.text == "$" and n.kind in ("name", "quoted") and before not in ("$", "@", "::") and any(o < c[k] < e for o, e in masked):
+            yield _site(a, n.at + len(n.text), "tidyeval_data_pronoun", n.text)
+
+
+def smells(source: str) -> Iterator[dict]:
+    """Functions with branches, nesting or length over the usual limits, as notes; nothing is rewritten."""
+    for f in functions(source):
+        over = [f"{k}={f[k]}" for k, most in (("cyclomatic", 10), ("nesting", 4), ("body_lines", 40)) if f[k] >= most]
+        if over:
+            yield {"rule": "smell_metadata", "line": f["line"], "start": f["body_start"], "end": f["body_start"], "rewrite": "; ".join(over)}
+
+
 def quiet_places(source: str) -> Iterator[dict]:
     """Lines where nothing is to be done: after a closing brace at the top level, or blank between code."""
     lines = source.split("\n")
@@ -229,13 +280,16 @@ def quiet_places(source: str) -> Iterator[dict]:
 RULES: dict[str, tuple[str, Callable]] = {
     "pipe": ("%>%", pipes),
     "tf_true_false": (r"\b[TF]\b", true_false),
-    "seq_along_replace": (r"1L?\s*:\s*(length|nrow|ncol)", seq_along),
+    "seq_along_replace": (r"1L?\s*:\s*(length|nrow|ncol|NROW|NCOL)", seq_along),
     "paste_sep_empty": (r"paste\s*\(", paste_empty),
     "class_inherits": (r"class\s*\(", class_inherits),
     "single_quote": ("'", single_quotes),
     "namespace_qualify": ("::", qualified),
     "testthat": ("expect_", expectations),
     "na_rm": (r"\b(mean|sd)\s*\(", bare_na),
+    "stopifnot_named": (r"if\s*\(\s*!", stopifnot_named),
+    "tidyeval_data_pronoun": (r"\.data\$", data_pronoun),
+    "smell_metadata": ("function|\\\\", smells),
     "no_op": ("\n", quiet_places),
 }
 SITE = "rule string, line int, start int, end int, rewrite string"
