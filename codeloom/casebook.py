@@ -115,7 +115,7 @@ def fragment(text: str | None) -> dict:
     code = [s.tokens[i] for i in s.code]
     last = code[-2] if len(code) > 2 else None
     words = ("name", "number", "string", "quoted")
-    loose = any(a.kind in words and b.kind in words and a.line == b.line and a.text not in scenarios.RESERVED for a, b in zip(code, code[1:], strict=False))
+    loose = any(a.kind in words and b.kind in words and a.line == b.line and not {a.text, b.text} & scenarios.RESERVED for a, b in zip(code, code[1:], strict=False))
     out["clean"] = last is not None and _clean(s.lines) and s.tokens[0].mate == len(s.tokens) - 1 and last.kind not in ("op", "sep") and not loose
     inside = s.statements(0) if out["clean"] else []
     out["statements"] = len(inside)
