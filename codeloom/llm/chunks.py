@@ -6,20 +6,32 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 #: Bytes of rows in a chunk, at most about; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
-def gathered(batches):
-    """Lists of record batches of about CHUNK_BYTES together."""
+def source(docs: DataFrame, keep: list[str], text: str, **more: Column) -> tuple[DataFrame, list[S.StructField], str]:
+    """(rows of columns c0, c1, ... for `keep`, and of `more`; fields of the former; the text's column). A text that is kept is carried once."""
+    fields = [S.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    cols = [F.col(c).alias(f.name) for c, f in zip(keep, fields, strict=True)] + [c.alias(n) for n, c in more.items()]
+    if text in keep and isinstance(docs.schema[text].dataType, S.StringType):
+        return docs.select(*cols), fields, f"c{keep.index(text)}"
+    return docs.select(*cols, F.col(text).cast("string").alias("text")), fields, "text"
+
+
+def gathered(batches, most: int = CHUNK_BYTES):
+    """Lists of record batches of about `most` bytes together."""
     parts, size = [], 0
     for b in batches:
         if not len(b):
             continue
         parts.append(b)
         size += b.nbytes
-        if size >= CHUNK_BYTES:
+        if size >= most:
             yield parts
             parts, size = [], 0
     if parts:

@@ -9,7 +9,7 @@ AGREE symbols (a pair of 0.8 has fewer with a probability under 1e-9) are confir
 64-bit hashes.
 
 No group of copies is expanded into pairs. Equal sets are one class. Each bucket first links its
-members to one hub; what these links connect is not compared again. Buckets that still hold several
+members to one hub, the member that meets most others in all its buckets; what these links connect is not compared again. Buckets that still hold several
 components go on: once more with hubs drawn by hash, then in full. There a bucket is dealt into blocks
 of bounded size, and each pair of blocks first compares signatures: of members of different components it
 keeps those that have a pair of their own here, that is, under the smallest key that the pair shares. Only these
@@ -57,15 +57,15 @@ def signatures(h, bounds):
     return out
 
 
-def chunks(src: DataFrame, shingle: int) -> DataFrame:
-    """A row for each chunk of src (id, text, and columns that are carried along): its rows, and arrays with an
+def chunks(src: DataFrame, shingle: int, text: str) -> DataFrame:
+    """A row for each chunk of src (id, the text, and columns that are carried along): its rows, and arrays with an
     entry for each row: its number, id, n_shingles, set_key (a 128-bit digest of the shingle set, null if it is empty) and sig."""
 
     def one(parts):
         name, first = C.name(), 0
         out = {x: [] for x in ("row", "id", "n_shingles", "set_key", "sig")}
         for p in parts:
-            for at, to, data, off in K.slices(p):
+            for at, to, data, off in K.slices(p, text):
                 h, b = K.shingle_sets(data, off, shingle)
                 sig, size = signatures(h, b), np.diff(b)
                 x, y = (np.concatenate([[np.uint64(0)], np.cumsum(K.mix(h * _A[i]), dtype=np.uint64)]) for i in (0, 1))
@@ -85,7 +85,7 @@ def chunks(src: DataFrame, shingle: int) -> DataFrame:
     return src.mapInArrow(run, "chunk bigint, rows binary, row array<bigint>, id array<bigint>, n_shingles array<bigint>, set_key array<binary>, sig array<binary>")
 
 
-def fetched(wanted: DataFrame) -> DataFrame:
+def fetched(wanted: DataFrame, text: str) -> DataFrame:
     """(id, n_bytes, text) of chunk rows with `places`, structs (at, id): texts under the ids that are asked for."""
 
     def run(batches):
@@ -98,8 +98,8 @@ def fetched(wanted: DataFrame) -> DataFrame:
                 for first, part in C.opened(K.column(batch, "rows")[i]):
                     lo, hi = np.searchsorted(at, (first, first + len(part)))
                     if hi > lo:
-                        text = K.column(part, "text").take(pa.array(at[lo:hi] - first))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pc.binary_length(text).cast(pa.int64()), text], ["id", "n_bytes", "text"])
+                        own = K.column(part, text).take(pa.array(at[lo:hi] - first))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pc.binary_length(own).cast(pa.int64()), own], ["id", "n_bytes", "text"])
 
     return wanted.select("rows", "places").mapInArrow(run, "id bigint, n_bytes bigint, text string")
 
@@ -259,12 +259,15 @@ def _joining(groups: DataFrame, shingle: int, percent: int) -> DataFrame:
 def _linked(classes: DataFrame, texts_of, shingle: int, percent: int) -> DataFrame:
     """(id, component) of classes (id, sig): all that links connect; texts_of gives (id, text) for a table of ids."""
     keys = index_keys(classes)
-    hubs = written(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    buckets = written(keys.join(hubs, "key"), "buckets")
+    sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    buckets = written(keys.join(sizes, "key"), "buckets")
+    # the hub is the member that meets most rows over all its buckets: of a star of copies, its centre
+    met = buckets.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = written(buckets.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("no"))).alias("h")).select("key", (-F.col("h.no")).alias("hub")), "hubs")
     sigs = classes.select("id", "sig")
     texts = written(texts_of(buckets.select("id").distinct()), "texts")
 
-    tried = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    tried = buckets.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     edges = written(confirmed(tried, sigs, texts, shingle, percent), "links")
     comp = written(components(edges), "components")
 
@@ -302,8 +305,8 @@ def compared(docs: DataFrame, keep: list[str], text: str, key: str, shingle: int
     if percent < 80:
         raise ValueError("the index is laid out for a similarity of 0.8 or more")
     spark = docs.sparkSession
-    src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    t = bucketed(chunks(src, shingle), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")), "texts")
+    src, _, text = C.source(docs, keep, text, id=F.col(key).cast("bigint"))
+    t = bucketed(chunks(src, shingle, text), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")), "texts")
     sk = t.select("chunk", F.posexplode(F.arrays_zip("row", "id", "n_shingles", "set_key", "sig")).alias("at", "x")).select("chunk", "at", "x.*")
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = sk.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("row", "chunk", "at")).alias("x"), F.any_value("sig").alias("sig"), F.min(best).alias("best"))
@@ -311,7 +314,7 @@ def compared(docs: DataFrame, keep: list[str], text: str, key: str, shingle: int
 
     def texts_of(ids):
         places = classes.join(ids, "id").groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("places"))
-        return fetched(t.join(places.hint("shuffle_hash"), "chunk"))
+        return fetched(t.join(places.hint("shuffle_hash"), "chunk"), text)
 
     comp = _linked(classes, texts_of, shingle, percent)
     of_set = classes.join(comp, "id", "left").select("set_key", F.coalesce("component", "id").alias("c"), "best")

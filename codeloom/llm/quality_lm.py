@@ -73,25 +73,25 @@ def _keys(grams):
     return np.unique(np.concatenate(out))
 
 
-def chunks(src: DataFrame) -> DataFrame:
-    """(chunk, ids, rows, n_keys, keys) of rows with the columns id and text: see the module's description."""
+def chunks(src: DataFrame, text: str = "text") -> DataFrame:
+    """(chunk, ids, rows, n_keys, keys) of rows with an id and a text: see the module's description."""
 
     def one(parts):
         grams = [np.zeros(0, np.int64)]
         for b in parts:
-            for _, _, data, off in K.slices(b):
+            for _, _, data, off in K.slices(b, text):
                 grams.append(pc.unique(pa.array(_codes(data, off))).to_numpy())
         keys = _keys(np.unique(np.concatenate(grams)))
         ids = pa.concat_arrays([K.column(b, "id") for b in parts])
         return pa.RecordBatch.from_arrays([pa.array([C.name()]), C.one_list(ids), pa.array([C.stored(parts)], pa.binary()), pa.array([len(keys)]), pa.array([C.pack(np.diff(keys, prepend=0))], pa.binary())], ["chunk", "ids", "rows", "n_keys", "keys"])
 
     def run(batches):
-        yield from map(one, C.gathered(batches))
+        yield from map(one, C.gathered(batches, 2 * C.CHUNK_BYTES))
 
     return src.mapInArrow(run, "chunk bigint, ids array<bigint>, rows binary, n_keys bigint, keys binary")
 
 
-def gram_counts(marked: DataFrame, every: bool = False) -> DataFrame:
+def gram_counts(marked: DataFrame, every: bool = False, text: str = "text") -> DataFrame:
     """(g, n): counts of all n-grams of order ORDER in trusted texts that are not held out; of all texts if `every`."""
 
     def run(batches):
@@ -101,7 +101,7 @@ def gram_counts(marked: DataFrame, every: bool = False) -> DataFrame:
                 places = None if every else np.array(K.column(batch, "places")[i].as_py() or [], np.int64)
                 for first, b in C.opened(K.column(batch, "rows")[i]):
                     mine = b if every else b.take(pa.array(places[(places >= first) & (places < first + len(b))] - first))
-                    for _, _, data, off in K.slices(mine):
+                    for _, _, data, off in K.slices(mine, text):
                         c = _codes(data, off)
                         seen = pc.value_counts(pa.array(c if every else c[np.repeat(~_held(data, off), np.diff(off))]))
                         g.append(seen.field("values").to_numpy())
@@ -201,7 +201,7 @@ def _log2p(grams, keys, p, weight):
     return np.log2(value)
 
 
-def scores(marked: DataFrame, keep: list[S.StructField]) -> DataFrame:
+def scores(marked: DataFrame, keep: list[S.StructField], text: str = "text") -> DataFrame:
     """The columns `keep` of every row, and n_bytes, bits (of the whole text, added up), trusted and held."""
 
     def run(batches):
@@ -219,7 +219,7 @@ def scores(marked: DataFrame, keep: list[S.StructField]) -> DataFrame:
                 places = np.array(K.column(batch, "places")[i].as_py() or [], np.int64)
                 for first, b in C.opened(K.column(batch, "rows")[i]):
                     bits, size, held = np.zeros(len(b)), np.zeros(len(b), np.int64), np.zeros(len(b), bool)
-                    for at, to, data, off in K.slices(b):
+                    for at, to, data, off in K.slices(b, text):
                         if len(data):
                             d = pa.array(_codes(data, off)).dictionary_encode()
                             lp = _log2p(d.dictionary.to_numpy(), keys, p, weight)[d.indices.to_numpy()]
@@ -260,22 +260,21 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "tex
     with a null key can't be trusted but are judged. NUL bytes count as what stands before a text.
     """
     spark = docs.sparkSession
-    inner = [S.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.expr(f"try_cast(`{key}` as bigint)").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    src, inner, text = C.source(docs, keep, text, id=F.expr(f"try_cast(`{key}` as bigint)"), lang=F.col(lang).cast("string"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with bounded_batches(spark):
-        cut = bucketed(chunks(src), "chunk", partitions, "chunks")
+        cut = bucketed(chunks(src, text), "chunk", partitions, "chunks")
         good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id")).distinct()
         at = cut.select("chunk", F.posexplode("ids").alias("place", "id")).join(good, "id").groupBy("chunk").agg(F.collect_list("place").alias("places"))
         places = written(at, "places")
-        counts = written(gram_counts(cut.join(places.hint("shuffle_hash"), "chunk")), "grams")
+        counts = written(gram_counts(cut.join(places.hint("shuffle_hash"), "chunk"), text=text), "grams")
         alone = counts.isEmpty()
         if alone:
-            counts = written(gram_counts(cut, every=True), "grams")
+            counts = written(gram_counts(cut, True, text), "grams")
         fitted = written(model(counts), "model")
         found = answers(cut, fitted, partitions)
         marked = cut.join(found.hint("shuffle_hash"), "chunk", "left").join(places.hint("shuffle_hash"), "chunk", "left")
-        scored = written(scores(marked, [*inner, S.StructField("lang", S.StringType())]), "scores")
+        scored = written(scores(marked, [*inner, S.StructField("lang", S.StringType())], text), "scores")
     held = scored.select("lang", "n_bytes", "bits") if alone else scored.where("trusted and held").select("lang", "n_bytes", "bits")
     lim = written(limits(held, quantile), "limits")
     every = lim.where("lang is null").first()

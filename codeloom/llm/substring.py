@@ -58,8 +58,8 @@ def _anchors(data, off, length):
     return w, s, e, b, h[np.searchsorted(start, a)], np.searchsorted(b, a, "right") - 1, a
 
 
-def chunks(src: DataFrame, length: int) -> DataFrame:
-    """A row for each chunk of src (id, again, text, and columns that are carried along).
+def chunks(src: DataFrame, length: int, text: str) -> DataFrame:
+    """A row for each chunk of src (id, again, the text, and columns that are carried along).
 
     rows are the chunk's rows; then come arrays with an entry for each row (id, tie, row, n_words, sha
     of the words joined by single spaces, own: the text has an anchor twice) and for each anchor (hash, at:
@@ -72,7 +72,7 @@ def chunks(src: DataFrame, length: int) -> DataFrame:
         name, first = C.name(), 0
         for p in parts:
             again = np.asarray(K.column(p, "again"))
-            for at, to, data, off in K.slices(p):
+            for at, to, data, off in K.slices(p, text):
                 w, s, e, b, seed, t, a = _anchors(data, off, length)
                 twice = K.repeats(K.mix(seed + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 n = to - at
@@ -123,12 +123,12 @@ def _apart(packed):
     return packed >> 32, packed & 0xFFFFFFFF
 
 
-def _some(part, rows):
+def _some(part, text, rows):
     """Slices of the texts of some rows (sorted, distinct) of a batch: (the rows' places in `rows`: first and end, bytes, offsets)."""
-    return K.slices(pa.RecordBatch.from_arrays([K.column(part, "text").take(pa.array(rows, pa.int64()))], ["text"]))
+    return K.slices(pa.RecordBatch.from_arrays([K.column(part, text).take(pa.array(rows, pa.int64()))], ["text"]))
 
 
-def windows(marked: DataFrame, length: int, order: list[str]) -> DataFrame:
+def windows(marked: DataFrame, length: int, order: list[str], text: str) -> DataFrame:
     """(h1, rest, and the row's order): the windows that each chunk's seeds grow to, each once for a text; rest is 32 bits of hash and the start.
 
     Only texts that hold a seed and are no copy are read again.
@@ -144,11 +144,11 @@ def windows(marked: DataFrame, length: int, order: list[str]) -> DataFrame:
                 for first, part in C.opened(K.column(batch, "rows")[i]):
                     lo, hi = np.searchsorted(rows, (first, first + len(part)))
                     used, r = np.unique(rows[lo:hi], return_inverse=True)
-                    for at, to, data, off in _some(part, used - first):
+                    for at, to, data, off in _some(part, text, used - first):
                         x, y = np.searchsorted(r, (at, to))
                         w, _, _, b = K.word_hashes(data, off)
-                        h, start, text = K.gram_hashes(w, b, GRAM)
-                        a, s = _lowest(h, start, text, length)
+                        h, start, of = K.gram_hashes(w, b, GRAM)
+                        a, s = _lowest(h, start, of, length)
                         seed = np.zeros(len(w), bool)
                         seed[b[r[x:y] - at] + places[lo:hi][x:y]] = True
                         g, g2, starts, t, again = _windows(w, b, length)
@@ -160,7 +160,7 @@ def windows(marked: DataFrame, length: int, order: list[str]) -> DataFrame:
     return marked.select("rows", "seeds", "copies", *order).mapInArrow(run, "h1 bigint, rest bigint, " + ", ".join(f"{x} bigint" for x in order))
 
 
-def _cut(marked: DataFrame, length: int, keep: list[S.StructField], texts: bool) -> DataFrame:
+def _cut(marked: DataFrame, length: int, keep: list[S.StructField], texts: bool, text: str) -> DataFrame:
     """For each row its columns `keep`, n_words, n_removed, sha of what is left, and if `texts` also kept (null if
     nothing goes) and spans [from, to) of removed words. bad: starts of windows that other rows have earlier; copies: rows that lose all words."""
     empty = hashlib.sha256(b"").digest()
@@ -182,14 +182,14 @@ def _cut(marked: DataFrame, length: int, keep: list[S.StructField], texts: bool)
                     lo, hi = np.searchsorted(rows, (first, end))
                     starts = {k: [places[lo:hi][x:y]] for k, x, y in _groups(rows[lo:hi] - first)}
                     alone = np.flatnonzero(own[first:end] & ~copy[first:end])
-                    for at, _, data, off in _some(part, alone):
+                    for at, _, data, off in _some(part, text, alone):
                         w, _, _, b = K.word_hashes(data, off)
                         _, _, s, t, again = _windows(w, b, length)
                         s, t = s[again], t[again]
                         for k, x, y in _groups(t):
                             starts.setdefault(int(alone[at + k]), []).append(s[x:y] - b[k])
                     lose = np.array(sorted(starts), np.int64)
-                    for at, to, data, off in _some(part, lose):
+                    for at, to, data, off in _some(part, text, lose):
                         for k in range(at, to):
                             r = int(lose[k])
                             words = data[off[k - at] : off[k - at + 1]].tobytes().split()
@@ -230,12 +230,11 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id
     if length < GRAM + 4:
         raise ValueError(f"length must be {GRAM + 4} or more")
     spark = docs.sparkSession
-    inner = [S.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    src, inner, text = C.source(docs, keep, text, id=F.col(key).cast("bigint"))
     many = written(src.select("id").where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("many")), "many")
     src = src.withColumn("again", F.col("id").isNull()) if many.isEmpty() else src.join(many, F.col("id") == F.col("many"), "left").withColumn("again", F.col("id").isNull() | F.col("many").isNotNull()).drop("many")
     with bounded_batches(spark):
-        t = bucketed(chunks(src, length), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")), "texts")
+        t = bucketed(chunks(src, length, text), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")), "texts")
         # without repeated or null keys the key alone is the order
         order = ["id"] if many.isEmpty() and src.where("id is null").isEmpty() else ORDER
         me = F.struct(*order) if len(order) > 1 else F.col("id")
@@ -247,7 +246,7 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id
         places = t.select("chunk", F.inline(F.arrays_zip("hash", "at", "pos"))).join(seeds, "hash", "left_semi")
         marks = written(_by_chunk(places, F.col("at"), F.col("pos"), "seeds"), "marks")
         marked = t.join(marks.hint("shuffle_hash"), "chunk").join(copies.hint("shuffle_hash"), "chunk", "left")
-        win = written(windows(marked, length, order), "windows")
+        win = written(windows(marked, length, order, text), "windows")
         high = F.shiftright("rest", 32)
         first = written(win.groupBy("h1", high.alias("h2")).agg(F.min(me).alias("f"), F.max(me).alias("l")).where("f <> l").select(F.col("h1").alias("g1"), "h2", "f"), "matches")
         bad = win.join(first, (F.col("h1") == F.col("g1")) & (high == F.col("h2"))).where(me != F.col("f")).groupBy(*order).agg(F.collect_list(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
@@ -255,7 +254,7 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id
         at = bad.join(where, [F.col(c) == F.col(f"my_{c}") for c in order]).select("chunk", "at", F.explode("starts").alias("start"))
         bads = written(_by_chunk(at, F.col("at"), F.col("start"), "bad"), "bad")
         every = t.join(bads.hint("shuffle_hash"), "chunk", "left").join(copies.hint("shuffle_hash"), "chunk", "left")
-        return written(_cut(every, length, inner, texts), "cut")
+        return written(_cut(every, length, inner, texts, text), "cut")
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 20) -> DataFrame:
