@@ -199,3 +199,20 @@ def mapped_region(old: Column, new: Column, start: Column, span: Column) -> Colu
         return pd.DataFrame([one(list(x), list(y), int(z), int(m)) for x, y, z, m in zip(a, b, r, n, strict=True)], columns=["start", "end"])
 
     return F.pandas_udf(run, "start int, end int")(old, new, start, span)
+
+
+def code_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, block, tag, kind, code, sha): fenced blocks of each text; kind is r, other or untagged, and equal code has an equal sha."""
+    part = lambda i: F.regexp_extract_all(F.col(text), F.lit(classify.FENCE_BLOCK), F.lit(i))
+    rows = df.select(key, F.posexplode(F.arrays_zip(part(1).alias("tag"), part(2).alias("code"))).alias("block", "x")).select(key, "block", F.lower("x.tag").alias("tag"), "x.code")
+    kind = F.when(F.col("tag") == "", "untagged").when(F.col("tag").isin(*classify.R_TAGS), "r").otherwise("other")
+    return rows.select(key, "block", "tag", kind.alias("kind"), "code", F.sha1("code").alias("sha"))
+
+
+def reformatted(df: DataFrame, key: str, text: str, formatted: DataFrame) -> DataFrame:
+    """df with fenced R code replaced by what a formatter has made of it: formatted is (sha, code), once for all equal blocks; other blocks stay."""
+    hits = code_blocks(df, key, text).where("kind = 'r'").join(formatted.select("sha", F.col("code").alias("new")), "sha").where(F.col("new") != F.col("code"))
+    per = hits.groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(F.struct("block", "code", "new"))).alias("__h"))
+    done = F.aggregate("__h", F.col(text), lambda t, h: F.replace(t, F.concat(F.lit("\n"), h["code"], F.lit("```")), F.concat(F.lit("\n"), h["new"], F.lit("```"))))
+    j = df.join(per, F.col(key) == F.col("__k"), "left")
+    return j.select(*[F.when(F.col("__h").isNotNull(), done).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in df.columns])

@@ -66,6 +66,17 @@ def code(tokens: list[Token]) -> list[int]:
     return [i for i, t in enumerate(tokens) if t.kind not in ("comment", "newline")]
 
 
+def _dead(inner: list[Token]) -> int:
+    """Names that a body assigns once or more and never reads."""
+    c = [x for x in inner if x.kind not in ("comment", "newline")]
+    written, read = set(), set()
+    for x, n in zip(c, [*c[1:], None], strict=False):
+        if x.kind == "name":
+            (written if n is not None and n.text in ("<-", "=") and x.depth == c[0].depth else read).add(x.text)
+    last = c[-1].text if c else ""
+    return len(written - read - {last})
+
+
 def functions(source: str) -> Iterator[dict]:
     """Functions assigned at the top level: name, lines from 0, documentation above, body span, and measures."""
     t = lex(source)
@@ -94,6 +105,7 @@ def functions(source: str) -> Iterator[dict]:
             "nesting": max((x.depth - o.depth - 1 for x in inner if x.kind == "open" and x.text == "{"), default=0),
             "body_lines": len(body), "dup_lines": len(body) - len(set(body)),
             "magic": sum(x.kind == "number" and x.text.rstrip("L") not in ("0", "1", "2") for x in inner),
+            "dead": _dead(inner),
         }
 
 
@@ -293,7 +305,7 @@ RULES: dict[str, tuple[str, Callable]] = {
     "no_op": ("\n", quiet_places),
 }
 SITE = "rule string, line int, start int, end int, rewrite string"
-FUNCTION = "name string, line int, end_line int, body_start int, body_end int, signature string, doc string, rich boolean, cyclomatic int, nesting int, body_lines int, dup_lines int, magic int"
+FUNCTION = "name string, line int, end_line int, body_start int, body_end int, signature string, doc string, rich boolean, cyclomatic int, nesting int, body_lines int, dup_lines int, magic int, dead int"
 SPAN = "kind string, start int, end int"
 
 

@@ -495,6 +495,34 @@ def mid_body_edits(source: str, body: tuple[int, int] = (3, 40), per_file: int =
         yield _row("mid_body_edit", s.lines, line, old, [new], kind=kind, prefix=s.lines[max(0, first - WINDOW) : line], suffix=s.lines[line + 1 : last + 1 + WINDOW])
 
 
+def cut_sites(source: str, random: int = 2, least: int = 30, budget: int = 6000) -> Iterator[dict]:
+    """Bodies of documented functions cut after their first statement, at their middle and before their last one, and at `random` more
+    places that the function's name fixes; with and without the documentation above. What is to come has `least` characters at least."""
+    s = Source(source)
+    for name, o, e, _, docs in _documented(s):
+        inside = s.statements(o)
+        if len(inside) < 2:
+            continue
+        n = len(inside) - 1
+        sites = {"first": 0, "middle": n // 2, "last": n - 1}
+        sites |= {f"random{k}": draw(f"{s.tokens[name].text}{k}{s.lines[s.tokens[o].line]}", n) for k in range(random)}
+        seen: set[int] = set()
+        for kind, at in sites.items():
+            if at in seen:
+                continue
+            seen.add(at)
+            t = s.tokens[inside[at][1]]
+            cut = t.at + len(t.text)
+            rest = s.text[cut : s.tokens[e].at].strip("\n")
+            if len(rest.strip()) < least or len(rest.split("\n")) > 40:
+                continue
+            for doc in ("docs", "bare") if docs else ("bare",):
+                first = docs[0] if doc == "docs" else s.tokens[name].line
+                above = s.text[s.starts[first] : cut].split("\n")
+                if len("\n".join(above)) + len(rest) <= budget:
+                    yield _row("finish_block", s.lines, t.line, [""], rest.split("\n"), kind=f"fb_cut_{kind}:{doc}", prefix=above, note=s.tokens[name].text)
+
+
 NAMESPACE_ENTRY = re.compile(r"^(export|importFrom|import|S3method|exportPattern|useDynLib)\(([^)]*)\)\s*$")
 
 
@@ -546,6 +574,7 @@ FAMILIES: dict[str, tuple[str, Callable[[str], Iterator[dict]]]] = {
     "comment_insert": ("#", comment_inserts),
     "removed_block": ("function|\\\\", removed_blocks),
     "finish_block": ("#'", finish_blocks),
+    "finish_block_cuts": ("function|\\\\", cut_sites),
     "tidyselect_helpers": ("|".join(sorted(HELPERS)), tidyselect),
     "pipe_chain_link": (r"%>%|\|>", pipe_links),
     "trycatch_handlers": ("tryCatch|withCallingHandlers", handlers),

@@ -52,12 +52,12 @@ def deck(spark, n: int, seed: int, cores: dict[str, list], styles: dict[str, lis
     w = Window.orderBy("__h")
     text = lambda cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
     c = grid(spark, **cores).withColumn("__id", text(cores)).withColumn("__h", T.order_key(F.col("__id"), seed)).withColumn("__core", F.row_number().over(w) - 1)
-    s = grid(spark, **styles).withColumn("__sid", text(styles))
     n_core, n_style = _product(cores), _product(styles)
     draws = spark.range(n).select(F.col("id").alias("pos"), (F.col("id") % n_core).alias("__core"), F.floor(F.col("id") / n_core).alias("__turn"))
     drawn = draws.join(c, "__core")
     pick = F.when(F.col("__turn") < n_style, F.col("__turn")).otherwise(F.floor(T.unit(F.concat_ws(":", F.lit(str(seed)), "__id", F.col("pos").cast("string"))) * (n_style - 1e-9))).cast("bigint")
-    decks = c.select(F.col("__id").alias("__mine")).join(F.broadcast(s)).withColumn("__slot", F.row_number().over(Window.partitionBy("__mine").orderBy(T.order_key(F.concat_ws("|", "__mine", "__sid"), seed))) - 1)  # the parameters' cells
+    cells = grid(spark, **cores, **styles).select(text(cores).alias("__mine"), text(styles).alias("__sid"), *styles)
+    decks = cells.withColumn("__slot", F.row_number().over(Window.partitionBy("__mine").orderBy(T.order_key(F.concat_ws("|", "__mine", "__sid"), seed))) - 1)
     out = drawn.withColumn("__pick", pick).join(decks, (F.col("__id") == F.col("__mine")) & (F.col("__pick") == F.col("__slot")))
     return out.select("pos", *cores, *styles, (F.col("__turn") >= n_style).alias("recycled"))
 

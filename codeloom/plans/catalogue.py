@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import corpus_queries, edit_queries, report_queries, table_queries  # noqa: F401
+from . import code_queries, corpus_queries, edit_queries, report_queries, table_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -31,10 +31,10 @@ def mixture_report(t, spark):
     return n.join(stats.order_stats(s, ["lang"], "n_chars", {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95), "p99": ("nearest", 0.99), "max_chars": ("max", 1)}), "lang")
 
 
-@query("SELECT 'a' AS lang, 'b' AS source WHERE false")
+@query(f"WITH {FIRST}, {HELD.format('f')}, s AS (SELECT f.*, h.source IS NOT NULL AS e FROM f LEFT JOIN h ON f.lang = h.lang AND f.source = h.source) SELECT source FROM s WHERE e INTERSECT SELECT source FROM s WHERE NOT e")
 def holdout_overlap(t, spark):
-    """Sources on both sides of the split: none."""
-    return sampling.overlap(split_documents(t), ["lang", "source"])
+    """Sources on both sides of a split that holds them out within each language only."""
+    return sampling.overlap(split_documents(t), ["source"])
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -147,16 +147,15 @@ def order_stats_all(t, spark):
 @query("""WITH s AS (SELECT len(regexp_extract_all(text, 'the|and|ing')) AS a, len(regexp_extract_all(text, 'der|die|und')) AS b FROM documents)
 SELECT CASE WHEN a >= 2 AND a > 2 * b THEN 'a' WHEN b >= 2 AND b > 2 * a THEN 'b' WHEN a > b THEN 'a-lean' WHEN b > a THEN 'b-lean' ELSE 'neutral' END AS cls, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY ALL""")
 def two_list_class(t, spark):
-    """The two-list decision of the style classifier, on words these documents have."""
-    a, b = T.count(F.col("text"), "the|and|ing"), T.count(F.col("text"), "der|die|und")
-    c = F.when((a >= 2) & (a > 2 * b), "a").when((b >= 2) & (b > 2 * a), "b").when(a > b, "a-lean").when(b > a, "b-lean").otherwise("neutral")
+    """The style classifier, with words these documents have in place of its own lists."""
+    c = classify.style(F.col("text"), "the|and|ing", "der|die|und", ("a", "b"))
     return t("documents").select(c.alias("cls")).groupBy("cls").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(l, 'mit license') THEN 'MIT' WHEN contains(l, 'apache license') THEN 'Apache-2.0' WHEN contains(l, 'gnu general public license') THEN CASE WHEN contains(l, 'version 3') THEN 'GPL-3' WHEN contains(l, 'version 2') THEN 'GPL-2' ELSE 'GPL' END END AS spdx
-FROM (SELECT doc_id, lower(substr(text, 1, 20000)) AS l FROM documents) WHERE regexp_matches(l, 'mit license|apache license|gnu general public license')""")
+FROM (SELECT doc_id, lower(text) AS l FROM documents) WHERE regexp_matches(l, 'mit license|apache license|gnu general public license')""")
 def license_text_heuristic(t, spark):
-    d = t("documents").where(F.lower(F.substring("text", 1, 20000)).rlike("mit license|apache license|gnu general public license"))
+    d = t("documents").where(F.lower("text").rlike("mit license|apache license|gnu general public license"))
     return d.select("doc_id", classify.license_text(F.col("text")).alias("spdx"))
 
 
@@ -213,11 +212,11 @@ def prefix_count_mask(t, spark):
     return tables.prefix_sums(d, ["doc_id"], F.col("dose_20").cast("bigint"), F.floor(F.col("doc_id") / 4096))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT DISTINCT l.doc_id FROM l JOIN benchmark b ON trim(l.line) = trim(b.text)")
+@query("WITH k AS (SELECT source, row_number() OVER (ORDER BY md5('3:' || source), source) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id FROM documents WHERE source IN (SELECT source FROM k WHERE r <= greatest(1, round_even(0.1 * n, 0)))")
 def heldout_semi_join(t, spark):
-    """Documents with a line that is a whole held-out passage."""
-    l = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("k", F.trim("line"))
-    return l.join(t("benchmark").select(F.trim("text").alias("k")), "k", "left_semi").select("doc_id").distinct()
+    """Documents of held-out sources."""
+    d = t("documents").select("doc_id", "source")
+    return d.join(sampling.holdout_keys(d, "source", 0.1, 3), "source", "left_semi").select("doc_id")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), m AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l WHERE length(line) > 80)

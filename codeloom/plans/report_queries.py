@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, gates, metrics, rollups, selection
+from ..operators import context, gates, metrics, rollups, selection, signals
 from .registry import query
 
 SPLIT_LINES = "string_split(text, chr(10))"
@@ -316,3 +316,24 @@ def eval_token_caps(t, spark):
     """Rows for evaluation by token caps, with the room that is left for an answer."""
     n = F.size(T.words(F.col("text")))
     return t("documents").where(n <= 900).select("doc_id", n.alias("prompt_tok"), F.least(F.lit(64), 1024 - n).alias("max_tokens"))
+
+
+FENCES = "'a' || chr(10) || '```' || ['r', 'python', '', 'R'][1 + doc_id % 4] || chr(10) || lang || '<-' || source || chr(10) || '```' || chr(10) || 'b'"
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, source, {FENCES} AS t FROM documents) SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'other' WHEN 2 THEN 'untagged' ELSE 'r' END AS kind, sha1(lang || '<-' || source || chr(10)) AS sha, CASE WHEN doc_id % 4 IN (0, 3) THEN replace(t, '<-', ' <- ') ELSE t END AS text FROM t""")
+def embedded_code(t, spark):
+    """Fenced blocks with their kind and hash, and texts with R blocks reformatted."""
+    tag = F.get(F.array(*map(F.lit, ["r", "python", "", "R"])), (F.col("doc_id") % 4).cast("int"))
+    text = F.concat(F.lit("a\n```"), tag, F.lit("\n"), "lang", F.lit("<-"), "source", F.lit("\n```\nb"))
+    d = t("documents").select("doc_id", text.alias("text"))
+    b = context.code_blocks(d, "doc_id", "text")
+    tidy = b.select("sha", F.replace("code", F.lit("<-"), F.lit(" <- ")).alias("code")).distinct()
+    return context.reformatted(d, "doc_id", "text", tidy).join(b.select("doc_id", "kind", "sha"), "doc_id").select("doc_id", "kind", "sha", "text")
+
+
+@query(f"""WITH e AS (SELECT event_type, {K} AS k, value FROM events) SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS exact, round(avg(k / 100.0), 6) AS line_f1, round(avg(CASE WHEN k % 5 = 0 THEN 1.0 ELSE 0.0 END), 6) AS format_fail, list_sort(list(value))[count(*) // 2 + 1] AS p50 FROM e GROUP BY event_type""")
+def evaluation_scores(t, spark):
+    k = F.col("k")
+    e = scored(t).select("event_type", (k % 3 == 0).cast("int").alias("exact"), (k % 2 == 0).cast("int").alias("first_line"), (k / 100.0).alias("line_f1"), F.when(k % 5 == 0, "x").alias("error"), F.col("value").alias("latency_s"))
+    return signals.evaluation(e, ["event_type"]).select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("exact", "line_f1", "format_fail")], "p50")

@@ -21,9 +21,10 @@ def ledger_latest(t, spark):
     return dedup.latest(t("events"), "user_id", "ts", "event_id").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id FROM events ANTI JOIN (SELECT o_orderkey FROM orders) o ON event_id = o_orderkey")
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def resume_anti_join(t, spark):
-    return tables.pending(t("events").select("event_id"), t("orders").select(F.col("o_orderkey").alias("event_id")), "event_id")
+    """Documents that are not labelled yet."""
+    return tables.pending(t("documents").select("doc_id"), t("labels"), "doc_id")
 
 
 @query("WITH w AS (SELECT event_id, user_id, event_type, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_event_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_event_type FROM events) SELECT * FROM w WHERE next_event_id IS NOT NULL")

@@ -40,8 +40,27 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_entry_without_llm(spark):
+def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
     assert set(SQL) <= set(e.oracle_sql()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_the_training_data_part(monkeypatch):
+    """With that part hidden the rest imports; what is missing elsewhere is an error."""
+    import importlib
+    import sys
+
+    import __spark_entry__ as e
+
+    with monkeypatch.context() as m:
+        for name in [n for n in sys.modules if n.startswith("codeloom.llm") or n == "corpus_pipeline"]:
+            m.delitem(sys.modules, name)
+        m.setitem(sys.modules, "codeloom.llm", None)
+        m.setitem(sys.modules, "corpus_pipeline", None)
+        bare = importlib.reload(e)
+        assert bare.llm is None and bare.corpus_pipeline is None
+        assert set(bare.queries()) == set(QUERIES) and set(bare.oracle_sql()) == set(SQL)
+        assert not bare._absent(ModuleNotFoundError("no", name="numpy"))
+    importlib.reload(e)

@@ -93,6 +93,18 @@ def test_regions_are_the_files_text(family):
         assert not r["prefix"] or r["prefix"] == lines[r["line"] - len(r["prefix"]) : r["line"]]
 
 
+def test_cut_sites():
+    rows = found("finish_block_cuts")
+    assert {r["kind"].split(":")[0] for r in rows} >= {"fb_cut_first", "fb_cut_middle"} and {r["kind"].split(":")[1] for r in rows} == {"docs", "bare"}
+    for r in rows:
+        assert "\n".join(r["prefix"] + r["region_new"]) in SOURCE or "\n".join(r["prefix"]) + "\n" + "\n".join(r["region_new"]) in SOURCE
+
+
+def test_dead_assignments():
+    f = next(rlex.functions("f <- function(x) {\n  a <- 1\n  b <- 2\n  g(b)\n  c <- x\n  c\n}"))
+    assert f["dead"] == 1
+
+
 def test_families():
     assert [r["kind"] for r in found("finish_block")] == ["signature", "mid_body"]
     m = found("mid_roxygen")[0]
