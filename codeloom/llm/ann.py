@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import small_batches, written
 
-#: The index is fitted on at most so many vectors, those of smallest hash.
-SAMPLE = 20_000
+#: The index is fitted on so many vectors, those of smallest hash: 20,000, or as many as its lists ask for, 200,000 at most.
+SAMPLE, MOST, EACH = 20_000, 200_000, 16
 CHUNK, QUERIES, COLUMNS, EPS, FIRST = 1024, 256, 16, 2.1, 4
-#: Probes are set so that this share of the sample's own neighbours is in the probed lists.
+#: Probes are set so that this share of the sample's own neighbours is in the probed lists, and that this share of its queries finds nine in ten of its own.
 TARGET = 0.98
 
 
@@ -34,13 +34,18 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     return vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(fine)
 
 
+def n_lists(total: int) -> int:
+    """Lists for so many vectors: half of the square root, as far as the largest sample gives each list EACH vectors."""
+    return max(1, min(int(total**0.5 / 2), MOST // EACH))
+
+
 def fit(sample: np.ndarray, total: int, k: int, seed: int = 7):
     """(rotation, centroids, probes) from a sample of the vectors."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
     x = sample @ rotation
-    lists = int(min(1024, max(1, total**0.5 / 2), len(np.unique(x, axis=0))))
+    lists = int(min(n_lists(total), len(np.unique(x, axis=0))))
     centroids = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(12):
         near = nearest(x, centroids)
@@ -53,13 +58,23 @@ def fit(sample: np.ndarray, total: int, k: int, seed: int = 7):
     ip[np.arange(len(q)), q] = -np.inf
     best = np.argsort(-ip, axis=1)[:, : min(k, len(x) - 1)]
     rank = np.argsort(np.argsort(-order_of(x[q], centroids), axis=1), axis=1)
-    at = np.sort(np.take_along_axis(rank, near[best], axis=1).reshape(-1)) if best.size else np.zeros(1, int)
-    probes = int(at[min(len(at) - 1, int(np.ceil(TARGET * len(at))))]) + 1
-    return rotation, centroids, min(lists, probes + max(1, lists // 50))
+    probes = 0
+    if best.size:
+        at = np.sort(np.take_along_axis(rank, near[best], axis=1), axis=1)
+        every = np.sort(at.reshape(-1))
+        own = np.sort(at[:, int(np.ceil(0.9 * at.shape[1])) - 1])
+        probes = 1 + max(int(v[min(len(v) - 1, int(np.ceil(TARGET * len(v))))]) for v in (every, own))
+    return rotation, centroids, min(lists, max(1, probes) + max(1, lists // 50))
+
+
+def _steps(n: int, lists: int):
+    """Slices of n rows so small that a row of each list's numbers fits."""
+    step = max(1, 4_000_000 // max(1, lists))
+    return [slice(i, i + step) for i in range(0, n, step)]
 
 
 def nearest(x, centroids):
-    return np.concatenate([np.argmin((centroids**2).sum(1) - 2 * x[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+    return np.concatenate([np.argmin((centroids**2).sum(1) - 2 * x[i] @ centroids.T, axis=1) for i in _steps(len(x), len(centroids))]) if len(x) else np.zeros(0, np.int64)
 
 
 def order_of(q, centroids):
@@ -193,22 +208,23 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "
     spark = vectors.sparkSession
     small_batches(spark)
     rows = usable(vectors, key, vector)
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    total = rows.count()
+    got = rows.orderBy(F.xxhash64("id"), "id").limit(min(MOST, max(SAMPLE, EACH * n_lists(total)))).toArrow()
     if not len(got):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(x) for x in got["v"]]
     dim = max(set(lengths), key=lengths.count)
     rows = rows.where(F.size("v") == dim)
     sample = np.array([x for x in got["v"].to_pylist() if len(x) == dim])
-    model = spark.sparkContext.broadcast(fit(sample, rows.count(), k))
+    model = spark.sparkContext.broadcast(fit(sample, total, k))
     chunks = written(_index(rows, model, dim), "chunks")
 
     def probe(batches):
         rotation, centroids, n = model.value
         for batch in batches:
             q = _matrix(K.column(batch, "v"), dim)
-            order = np.argsort(-order_of(q @ rotation, centroids), axis=1, kind="stable")[:, :n].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([K.column(batch, "id"), K.column(batch, "v"), pa.array(list(order), pa.list_(pa.int32()))], ["query_id", "q", "lists"])
+            order = [row for i in _steps(len(q), len(centroids)) for row in np.argsort(-order_of(q[i] @ rotation, centroids), axis=1, kind="stable")[:, :n].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([K.column(batch, "id"), K.column(batch, "v"), pa.array(order, pa.list_(pa.int32()))], ["query_id", "q", "lists"])
 
     asked = usable(queries, key, vector).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     asked = written(asked.mapInArrow(probe, "query_id bigint, q array<double>, lists array<int>"), "probes")

@@ -522,6 +522,32 @@ def test_repeated_and_null_keys(hard):
     assert len(placed) == len(rows) and len({r.shard for r in placed if r.doc_id is None}) == 1
 
 
+def recalls(rows, got, k=20):
+    """The recall of each query, by true scores: a neighbour as near as the k-th counts."""
+    ids, m = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r.score)
+    out = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = np.delete(m @ m[q], q)
+        kth = np.sort(s)[-k]
+        out.append(sum(x >= kth - 1e-9 for x in found.get(int(ids[q]), [])) / k)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("shape", ["clusters", "lognormal"])
+def test_neighbours_in_awkward_tables(spark, shape):
+    """Tight clusters, and norms of very unlike sizes: nine in ten neighbours are found on average, and few queries find little."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    x = x + 9 * rng.normal(size=(60, 32))[rng.integers(60, size=6000)] if shape == "clusters" else x * np.exp(rng.normal(size=(6000, 1)))
+    rows = [(i, v) for i, v in enumerate(x)]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<double>").repartition(4)
+    each = recalls(rows, ann.op5(d).collect())
+    assert each.mean() >= 0.9 and (each < 0.5).mean() <= 0.02
+
+
 def test_neighbours_of_repeated_keys(spark):
     rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (None, [9.0, 9.0]), (3, [1.0, 2.0, 3.0])]
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("list", F.lit(1)).withColumn("q", F.lit("x"))
