@@ -97,7 +97,7 @@ def segments(docs: DataFrame, tokenizer: str, end: int = 0, text: str = "text",
             yield row()
 
     src = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    dealt = src.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
+    dealt = src.withColumn("h", F.xxhash64("text")).repartitionByRange("key", "h").sortWithinPartitions("key", "h").drop("h")  # rows of one key may lie in several ranges
     return dealt.mapInArrow(run, SEGMENTS)
 
 

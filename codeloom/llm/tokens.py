@@ -63,7 +63,7 @@ class Ids:
 
             letters = byte_letters()
             ranks = {bytes(letters[c] for c in t): i for t, i in json.loads(spec_json)["model"]["vocab"].items()}
-            self.ranked = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+            self.ranked = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
         """The ids of one text."""
