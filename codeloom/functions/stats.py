@@ -38,18 +38,17 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)), F.when(none, 0.0).otherwise(F.least(F.lit(1.0), mid + half))
 
 
-def bootstrap(df: DataFrame, by: list[str], value: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """Means of resamples: (by, mean, lo, hi) with the 2.5 and 97.5 % order statistics.
+def round_means(df: DataFrame, by: list[str], value: str, rounds: int, seed: int) -> DataFrame:
+    """(g, round, mean): the mean of each group in each resample; g is the group as JSON, '' without groups.
 
     A Poisson bootstrap: instead of n drawn indices a row has a Poisson(1) count in each round, so no
     group needs to be in one place. Equal values are counted first; n of them have a Poisson(n) count,
     drawn from the group's and the value's hash. A task keeps running sums of all rounds for each of
     its groups, and only those are added up. Null values take no part.
     """
-    g = [F.col(c).alias(f"g{i}") for i, c in enumerate(by)]
     names = [f"g{i}" for i in range(len(by))]
-    counts = df.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    seeded = counts.select(F.to_json(F.struct(*names)).alias("g") if by else F.lit("").alias("g"), "x", "n", F.xxhash64(*names, "x", F.lit(seed)).alias("h"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    seeded = counts.select(_group(names), "x", "n", F.xxhash64(*names, "x", F.lit(seed)).alias("h"))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -66,7 +65,28 @@ def bootstrap(df: DataFrame, by: list[str], value: str, rounds: int = 1000, seed
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i].tolist() for v in sums.values()], pa.list_(pa.float64())) for i in (0, 1))], ["g", "s", "w"])
 
     parts = seeded.mapInArrow(run, "g string, s array<double>, w array<double>")
-    rounds_ = parts.select("g", F.posexplode(F.arrays_zip("s", "w")).alias("round", "z")).groupBy("g", "round").agg((F.sum("z.s") / F.nullif(F.sum("z.w"), F.lit(0.0))).alias("mean"))
-    ends = order_stats(rounds_, ["g"], "mean", {"lo": ("floor", 0.025), "hi": ("floor", 0.975)})
-    means = df.groupBy(*g).agg(F.avg(value).alias("mean")).withColumn("g", F.to_json(F.struct(*names)) if by else F.lit(""))
+    return parts.select("g", F.posexplode(F.arrays_zip("s", "w")).alias("round", "z")).groupBy("g", "round").agg((F.sum("z.s") / F.nullif(F.sum("z.w"), F.lit(0.0))).alias("mean"))
+
+
+def _group(names: list[str]) -> Column:
+    return (F.to_json(F.struct(*names)) if names else F.lit("")).alias("g")
+
+
+ENDS = {"lo": ("floor", 0.025), "hi": ("floor", 0.975)}
+
+
+def bootstrap(df: DataFrame, by: list[str], value: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """Means of resamples: (by, mean, lo, hi) with the 2.5 and 97.5 % order statistics. See round_means()."""
+    names = [f"g{i}" for i in range(len(by))]
+    ends = order_stats(round_means(df, by, value, rounds, seed), ["g"], "mean", ENDS)
+    means = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.avg(value).alias("mean")).withColumn("g", _group(names))
     return means.join(ends, "g", "left").select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], "mean", "lo", "hi")
+
+
+def bootstrap_gap(df: DataFrame, arm: str, first: str, second: str, value: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """One row (gap, lo, hi): the mean of the first arm less the second's, and its interval over resamples of both."""
+    m = round_means(df.where(F.col(arm).isin(first, second)), [arm], value, rounds, seed).withColumn("arm", F.get_json_object("g", "$.g0"))
+    per = m.groupBy("round").agg((F.max(F.when(F.col("arm") == first, F.col("mean"))) - F.max(F.when(F.col("arm") == second, F.col("mean")))).alias("gap")).withColumn("all", F.lit(0))
+    ends = order_stats(per, ["all"], "gap", ENDS)
+    mean = lambda a: F.avg(F.when(F.col(arm) == a, F.col(value)))
+    return df.agg((mean(first) - mean(second)).alias("gap")).select("gap", *[ends.select(c).scalar().alias(c) for c in ("lo", "hi")])

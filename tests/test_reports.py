@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import stats
 from codeloom.operators import context, gates, metrics, rollups, selection
 
 
@@ -145,6 +146,21 @@ def test_scores(spark):
         assert tuple(one(spark, v, p=(lines, LINES), s=(single, "boolean"), a=(shape, "string"), b=(change, "string"))) == want
 
 
+def test_bootstrap(spark):
+    rnd = random.Random(5)
+    rows = [("a", rnd.gauss(10, 2)) for _ in range(400)] + [("b", rnd.gauss(8, 2)) for _ in range(400)] + [("b", None)]
+    for parts in (1, 5):
+        d = spark.createDataFrame(rows, "arm string, x double").repartition(parts)
+        got = {r.arm: r for r in stats.bootstrap(d, ["arm"], "x", 400).collect()}
+        for r in got.values():
+            assert r.lo < r.mean < r.hi and 0.25 < r.hi - r.lo < 0.6  # about 4 * 2 / sqrt(400)
+        gap = stats.bootstrap_gap(d, "arm", "a", "b", "x", 400).first()
+        assert gap.lo < gap.gap < gap.hi and abs(gap.gap - (got["a"].mean - got["b"].mean)) < 1e-9 and gap.lo > 1
+    tied = spark.createDataFrame([(1.0,)] * 300 + [(0.0,)] * 300, "x double")
+    r = stats.bootstrap(tied, [], "x", 400).first()
+    assert 0.05 < r.hi - r.lo < 0.12  # equal rows draw counts of their own: about 4 * 0.5 / sqrt(600)
+
+
 def test_deck_and_best(spark):
     rows = selection.deck(spark, 30, 1, {"d": ["x", "y"], "c": [1, 2]}, {"s": ["p", "q"], "l": [5, 6]}).collect()
     assert sorted(r.pos for r in rows) == list(range(30))
