@@ -123,12 +123,12 @@ def label_extrapolation(t, spark):
     return rollups.label_shares(t("events"), "event_type", 15983).withColumn("modern", F.col("event_type") != "view")
 
 
-@query(f"""WITH e AS (SELECT user_id, least(5, greatest(0, k / 20.0)) AS a, CASE WHEN k % 5 <> 0 THEN least(5, greatest(0, k / 10.0 - 1)) END AS b FROM (SELECT *, {K} AS k FROM events)), m AS (SELECT user_id, round(avg(a), 2) AS a, round(avg(b), 2) AS b FROM e GROUP BY user_id)
-SELECT user_id, a, b, round((a + coalesce(b, 0)) / (CASE WHEN b IS NULL THEN 1 ELSE 2 END), 2) AS composite FROM m""")
+@query(f"""WITH e AS (SELECT user_id, least(5, greatest(0, k / 23.0)) AS a, CASE WHEN k % 5 <> 0 THEN least(5, greatest(0, k / 11.0 - 1)) END AS b, least(5, greatest(0, k / 17.0)) AS c FROM (SELECT *, {K} AS k FROM events)), m AS (SELECT user_id, round(avg(a), 2) AS a, round(avg(b), 2) AS b, round(avg(c), 2) AS c FROM e GROUP BY user_id)
+SELECT user_id, a, b, c, round((a + coalesce(b, 0) + c) / (CASE WHEN b IS NULL THEN 2 ELSE 3 END), 2) AS composite FROM m""")
 def rerated_means(t, spark):
     k = F.col("k")
-    r = scored(t).select("user_id", (k / 20.0).alias("a"), F.when(k % 5 != 0, k / 10.0 - 1).alias("b"))
-    return rollups.rerated(r, "user_id", ["a", "b"])
+    r = scored(t).select("user_id", (k / 23.0).alias("a"), F.when(k % 5 != 0, k / 11.0 - 1).alias("b"), (k / 17.0).alias("c"))
+    return rollups.rerated(r, "user_id", ["a", "b", "c"])
 
 
 @query("WITH m AS (SELECT source, count(*) AS used FROM documents WHERE lang <> 'en' GROUP BY source), n AS (SELECT source, count(*) AS n FROM documents WHERE lang <> 'fr' GROUP BY source) SELECT source, CAST(used AS BIGINT) AS used, CAST(coalesce(n, 0) AS BIGINT) AS live, CAST(greatest(0, coalesce(n, 0) - used) AS BIGINT) AS new FROM m LEFT JOIN n USING (source)")
