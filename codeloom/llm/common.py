@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+from ..storage import clear, dropped, fresh_dir, made, mark, sweep, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,55 +40,11 @@ def bounded_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
-def _remove(spark, path):
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended before the interpreter does
-        pass
-
-
-@atexit.register
-def _clean():
-    for spark, path in _made:
-        if spark.sparkContext._jsc is not None:
-            _remove(spark, path)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write a table to the shared folder and read it back. Lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._codeloom_path = path
-    return out
-
-
 def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     """written() in buckets by key: joins on it move only the other side."""
-    spark = df.sparkSession
     name = f"codeloom_{label}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/codeloom/{name}"
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
-    _made.append((spark, path))
-    return spark.table(name)
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for df in frames:
-        _remove(df.sparkSession, df._codeloom_path)
+    df.write.format("parquet").option("compression", "zstd").option("path", fresh_dir(df.sparkSession, label, name)).bucketBy(buckets, key).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

@@ -8,11 +8,19 @@ origin and passed through a finalising mixer.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+# A worker goes from task to task: arrays of a megabyte or more go back to the system once they are freed,
+# where the C library can be told so, and do not stay with it.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15 | 1)
 _RINV = _U(pow(int(_R), -1, 1 << 64))
@@ -184,3 +192,17 @@ def shingle_sets(data, off, n=3):
 
 def column(batch, name):
     return batch.column(batch.schema.get_field_index(name))
+
+
+def trimmed(run):
+    """A function over batches that gives unused memory back when its task ends."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return go

@@ -73,7 +73,7 @@ def measure(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list
                 yield pa.RecordBatch.from_arrays([*(K.column(batch, f.name).slice(at, to - at) for f in inner), *(pa.array(m[x].astype(np.int64)) for x in MEASURES)], [*(f.name for f in inner), *MEASURES])
 
     kind = S.StructType([*inner, *(S.StructField(x, S.LongType()) for x in MEASURES)])
-    out = docs.select(*[F.col(c).alias(f.name) for c, f in zip(cols, inner, strict=True)], F.col(text).cast("string").alias("text")).mapInArrow(run, kind)
+    out = docs.select(*[F.col(c).alias(f.name) for c, f in zip(cols, inner, strict=True)], F.col(text).cast("string").alias("text")).mapInArrow(K.trimmed(run), kind)
     return out if keep else out.withColumnRenamed("c0", key)
 
 

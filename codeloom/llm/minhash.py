@@ -5,17 +5,18 @@ a distance of 15 symbols agree, by the pigeonhole principle, in all but at most
 chunk. Every chunk is therefore indexed under its 4 keys that leave one symbol out: all pairs within
 that distance meet under some key. At a similarity of 0.85 a pair is missed with a probability of
 2e-8 (all 8 chunks would need two errors or more), at 0.8 of 1e-6. Pairs that meet and agree in at least
-AGREE symbols (a pair of 0.8 has fewer with a probability under 1e-9) are confirmed on full shingle sets, by
+AGREE symbols are confirmed on full shingle sets, by
 64-bit hashes.
 
 No group of copies is expanded into pairs. Equal sets are one class. Each bucket first links its
-members to one hub, the member that meets most others in all its buckets; what these links connect is not compared again. Buckets that still hold several
-components go on: once more with hubs drawn by hash, then in full. There a bucket is dealt into blocks
-of bounded size, and each pair of blocks first compares signatures: of members of different components it
-keeps those that have a pair of their own here, that is, under the smallest key that the pair shares. Only these
-members' texts are fetched, and the pair of blocks confirms on full sets and gives only links that join
-components. So every link between different components is found, no pairs are written out, and no
-task gathers an unbounded group.
+members to one hub, the member that meets most others in all its buckets; what these links connect is not
+compared again. Buckets that still hold several components go on: once more with hubs drawn by hash, then
+in full. Buckets of up to BLOCK members are compared one by one, each pair under the smallest key that it
+shares; larger ones that share members are compared together, so that a large group that meets under many keys
+is compared once. What is compared together is dealt into blocks of bounded size, and each pair of blocks first
+compares signatures and keeps the members that have a pair to confirm. Only these members' texts are fetched,
+and the pair of blocks confirms on full sets and gives only links that join components. So every link between
+different components is found, no pairs are written out, and no task gathers an unbounded group.
 
 Texts are written once, in chunks (chunks.py); only texts that have to be compared leave them.
 """
@@ -31,12 +32,12 @@ from pyspark.sql import types as S
 
 from . import chunks as C
 from . import kernels as K
-from .common import bounded_batches, bucketed, components, written
+from .common import bounded_batches, bucketed, components, mark, sweep, written
 
 SYMBOLS, CHUNKS = 32, 8
 WIDTH = SYMBOLS // CHUNKS
-#: Symbols that a pair must share to be confirmed.
-AGREE = 10
+#: Symbols that a pair must share to be confirmed: one of similarity 0.8 has fewer with a probability of 3e-8.
+AGREE = 12
 SMALL_BUCKET = 32
 #: A block of a bucket holds about so many members, or so many bytes of text.
 BLOCK, BLOCK_BYTES = 512, 4_000_000
@@ -82,7 +83,7 @@ def chunks(src: DataFrame, shingle: int, text: str) -> DataFrame:
     def run(batches):
         yield from map(one, C.gathered(batches))
 
-    return src.mapInArrow(run, "chunk bigint, rows binary, row array<bigint>, id array<bigint>, n_shingles array<bigint>, set_key array<binary>, sig array<binary>")
+    return src.mapInArrow(K.trimmed(run), "chunk bigint, rows binary, row array<bigint>, id array<bigint>, n_shingles array<bigint>, set_key array<binary>, sig array<binary>")
 
 
 def fetched(wanted: DataFrame, text: str) -> DataFrame:
@@ -101,7 +102,7 @@ def fetched(wanted: DataFrame, text: str) -> DataFrame:
                         own = K.column(part, text).take(pa.array(at[lo:hi] - first))
                         yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pc.binary_length(own).cast(pa.int64()), own], ["id", "n_bytes", "text"])
 
-    return wanted.select("rows", "places").mapInArrow(run, "id bigint, n_bytes bigint, text string")
+    return wanted.select("rows", "places").mapInArrow(K.trimmed(run), "id bigint, n_bytes bigint, text string")
 
 
 def _keys(sig):
@@ -132,7 +133,7 @@ def index_keys(reps: DataFrame) -> DataFrame:
             keys = _keys(_sigs(K.column(batch, "sig")))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(K.column(batch, "id").to_numpy(), SYMBOLS))], ["key", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
+    return reps.select("id", "sig").mapInArrow(K.trimmed(run), "key bigint, id bigint")
 
 
 def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -160,19 +161,21 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([pa.array(K.column(batch, x).to_numpy()[mask]) for x in "ab"], ["a", "b"])
 
     sa, sb = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    some = written(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a bigint, b bigint"), "alike")
+    some = written(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(K.trimmed(alike), "a bigint, b bigint"), "alike")
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return some.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return some.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(K.trimmed(run), "a bigint, b bigint")
 
 
 def _near(key, sig, comp, side):
-    """[n, n], upper half: members of different components and blocks that agree enough, and share no smaller key."""
+    """[n, n], upper half: members of different components and blocks that agree enough and, in a bucket (key >= 0), share no smaller key."""
     n = len(sig)
     same = np.zeros((n, n), np.uint8)
     for k in range(SYMBOLS):
         same += sig[:, None, k] == sig[None, :, k]
     near = (same >= AGREE) & (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
     near = np.triu(near, 1)
+    if key < 0:
+        return near
     i, j = np.nonzero(near)
     keys = _keys(sig)
     for at in range(0, len(i), 1 << 16):
@@ -195,7 +198,7 @@ def _needed(groups: DataFrame) -> DataFrame:
                     n = len(some)
                     yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), *(m.field(x).take(some) for x in ("id", "comp", "side", "sig"))], ["key", "i", "j", "id", "comp", "side", "sig"])
 
-    return groups.mapInArrow(run, "key bigint, i int, j int, id bigint, comp bigint, side int, sig binary")
+    return groups.mapInArrow(K.trimmed(run), "key bigint, i int, j int, id bigint, comp bigint, side int, sig binary")
 
 
 def _links(key, members, shingle: int, percent: int) -> list[tuple[int, int]]:
@@ -253,7 +256,7 @@ def _joining(groups: DataFrame, shingle: int, percent: int) -> DataFrame:
             found = [p for key, row in zip(K.column(batch, "key").to_pylist(), K.column(batch, "members"), strict=True) for p in _links(key, row.values, shingle, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return groups.select("key", "members").mapInArrow(run, "a bigint, b bigint")
+    return groups.select("key", "members").mapInArrow(K.trimmed(run), "a bigint, b bigint")
 
 
 def _linked(classes: DataFrame, texts_of, shingle: int, percent: int) -> DataFrame:
@@ -280,8 +283,13 @@ def _linked(classes: DataFrame, texts_of, shingle: int, percent: int) -> DataFra
 
     rest = written(_mixed(buckets, comp, 2), "rest")
     if not rest.isEmpty():
-        sizes = written(rest.join(texts.select("id", "n_bytes"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
-        member = rest.join(sigs, "id").join(sizes, "key")
+        small, large = rest.where(F.col("n") <= BLOCK).select("key", "id", "comp"), rest.where(F.col("n") > BLOCK)
+        head = written(large.groupBy("key").agg(F.min("id").alias("a")), "heads")
+        canopy = written(components(large.join(head, "key").select("a", F.col("id").alias("b"))), "canopies") if not head.isEmpty() else head.select(F.col("a").alias("id"), F.col("a").alias("component"))
+        joint = large.select("id", "comp").distinct().join(canopy, "id").select((-F.col("component") - 1).alias("key"), "id", "comp")
+        groups_of = written(small.union(joint), "groups")
+        sizes = written(groups_of.join(texts.select("id", "n_bytes"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
+        member = groups_of.join(sigs, "id").join(sizes, "key")
         dealt = member.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1)
         groups = dealt.groupBy("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("id", "comp", side.alias("side"), "sig")).alias("members"))
@@ -327,8 +335,10 @@ def compared(docs: DataFrame, keep: list[str], text: str, key: str, shingle: int
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, percent: int = 85) -> DataFrame:
     """One row for each row of docs: its key, n_shingles, set_key, component_id and kept (its key is component_id). See compared()."""
+    since = mark()
     with bounded_batches(docs.sparkSession):
         found = written(compared(docs, [], text, key, shingle, percent)[1], "found")
+    sweep(since, found)
     return found.select(F.col("id").alias(key), "n_shingles", "set_key", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
 
 
@@ -346,10 +356,12 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
                     stay[gone[(gone >= first) & (gone < first + len(part))] - first] = False
                     yield pa.RecordBatch.from_arrays([K.column(part, f.name).filter(pa.array(stay)) for f in kind.fields], kind.names)
 
+    since = mark()
     with bounded_batches(docs.sparkSession):
         t, found = compared(docs, docs.columns, text, key, shingle, percent)
         gone = found.where("not first").groupBy("chunk").agg(F.collect_list("at").alias("gone"))
-        out = written(t.select("chunk", "rows").join(gone.hint("shuffle_hash"), "chunk", "left").select("rows", "gone").mapInArrow(run, kind), "stay")
+        out = written(t.select("chunk", "rows").join(gone.hint("shuffle_hash"), "chunk", "left").select("rows", "gone").mapInArrow(K.trimmed(run), kind), "stay")
+    sweep(since, out)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

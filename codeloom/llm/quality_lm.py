@@ -29,7 +29,7 @@ from pyspark.sql import types as S
 
 from . import chunks as C
 from . import kernels as K
-from .common import bucketed, bounded_batches, written
+from .common import bounded_batches, bucketed, mark, sweep, written
 
 ORDER, START = 5, 0
 #: Of the held-out trusted documents of a language: the quantile that is the limit.
@@ -88,7 +88,7 @@ def chunks(src: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         yield from map(one, C.gathered(batches, 2 * C.CHUNK_BYTES))
 
-    return src.mapInArrow(run, "chunk bigint, ids array<bigint>, rows binary, n_keys bigint, keys binary")
+    return src.mapInArrow(K.trimmed(run), "chunk bigint, ids array<bigint>, rows binary, n_keys bigint, keys binary")
 
 
 def gram_counts(marked: DataFrame, every: bool = False, text: str = "text") -> DataFrame:
@@ -111,7 +111,7 @@ def gram_counts(marked: DataFrame, every: bool = False, text: str = "text") -> D
                     total = np.bincount(inv, np.concatenate(n)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(total)], ["g", "n"])
 
-    return marked.select("rows", *([] if every else ["places"])).mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    return marked.select("rows", *([] if every else ["places"])).mapInArrow(K.trimmed(run), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -185,7 +185,7 @@ def answers(cut: DataFrame, fitted: DataFrame, partitions: int) -> DataFrame:
                 got.append(C.pack(np.where(np.isnan(v), lacking, v).astype(np.float32)))
         return pa.table({"chunk": asked.column("chunk").cast(pa.int64()), "shard": asked.column("shard").cast(pa.int32()), "p": pa.array(ps, pa.binary()), "weight": pa.array(ws, pa.binary())})
 
-    asked = cut.select("chunk", "n_keys", "keys").mapInArrow(asks, "shard int, salt int, chunk bigint, n int, keys binary")
+    asked = cut.select("chunk", "n_keys", "keys").mapInArrow(K.trimmed(asks), "shard int, salt int, chunk bigint, n int, keys binary")
     known = fitted.select(F.pmod(F.col("key") % _PRIME, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", "p", "weight")
     back = asked.groupBy("shard", "salt").cogroup(known.groupBy("shard", "salt")).applyInArrow(answer, "chunk bigint, shard int, p binary, weight binary")
     return back.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("shard", "p", "weight")).alias("found"), F.lit(shards).alias("shards"))
@@ -232,7 +232,7 @@ def scores(marked: DataFrame, keep: list[S.StructField], text: str = "text") ->
                     yield pa.RecordBatch.from_arrays([*(K.column(b, f.name) for f in keep), pa.array(size), pa.array(bits), pa.array(good), pa.array(held)], [*(f.name for f in keep), "n_bytes", "bits", "trusted", "held"])
 
     kind = S.StructType([*keep, S.StructField("n_bytes", S.LongType()), S.StructField("bits", S.DoubleType()), S.StructField("trusted", S.BooleanType()), S.StructField("held", S.BooleanType())])
-    return marked.select("rows", "n_keys", "keys", "found", "shards", "places").mapInArrow(run, kind)
+    return marked.select("rows", "n_keys", "keys", "found", "shards", "places").mapInArrow(K.trimmed(run), kind)
 
 
 def limits(held: DataFrame, quantile: float) -> DataFrame:
@@ -261,7 +261,7 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "tex
     """
     spark = docs.sparkSession
     src, inner, text = C.source(docs, keep, text, id=F.expr(f"try_cast(`{key}` as bigint)"), lang=F.col(lang).cast("string"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions, since = int(spark.conf.get("spark.sql.shuffle.partitions")), mark()
     with bounded_batches(spark):
         cut = bucketed(chunks(src, text), "chunk", partitions, "chunks")
         good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id")).distinct()
@@ -277,6 +277,7 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "tex
         scored = written(scores(marked, [*inner, S.StructField("lang", S.StringType())], text), "scores")
     held = scored.select("lang", "n_bytes", "bits") if alone else scored.where("trusted and held").select("lang", "n_bytes", "bits")
     lim = written(limits(held, quantile), "limits")
+    sweep(since, scored, lim)
     every = lim.where("lang is null").first()
     rate, limit = (F.coalesce(c, F.lit(every[c] if every else None).cast("double")) for c in ("rate", "limit"))
     out = scored.join(lim.where("lang is not null"), "lang", "left")

@@ -25,7 +25,7 @@ from pyspark.sql import types as S
 
 from . import chunks as C
 from . import kernels as K
-from .common import bounded_batches, bucketed, written
+from .common import bounded_batches, bucketed, mark, sweep, written
 
 GRAM = 8
 #: The order of documents: key (null: last), then for repeated and null keys a hash of the text and the row's own number.
@@ -97,7 +97,7 @@ def chunks(src: DataFrame, length: int, text: str) -> DataFrame:
     def run(batches):
         yield from map(one, C.gathered(batches))
 
-    return src.mapInArrow(run, "chunk bigint, rows binary, id array<bigint>, tie array<bigint>, row array<bigint>, n_words array<bigint>, sha array<binary>, own array<boolean>, hash array<bigint>, at array<int>, pos array<int>, whole array<bigint>, twice array<boolean>")
+    return src.mapInArrow(K.trimmed(run), "chunk bigint, rows binary, id array<bigint>, tie array<bigint>, row array<bigint>, n_words array<bigint>, sha array<binary>, own array<boolean>, hash array<bigint>, at array<int>, pos array<int>, whole array<bigint>, twice array<boolean>")
 
 
 def _windows(w, b, length):
@@ -157,7 +157,7 @@ def windows(marked: DataFrame, length: int, order: list[str], text: str) -> Data
                         rest = (g2[pick] << np.uint64(32)).view(np.int64) | (starts[pick] - b[t[pick]])
                         yield pa.RecordBatch.from_arrays([pa.array(g[pick].view(np.int64)), pa.array(rest), *(pa.array(o[used[at + t[pick]]]) for o in mine)], ["h1", "rest", *order])
 
-    return marked.select("rows", "seeds", "copies", *order).mapInArrow(run, "h1 bigint, rest bigint, " + ", ".join(f"{x} bigint" for x in order))
+    return marked.select("rows", "seeds", "copies", *order).mapInArrow(K.trimmed(run), "h1 bigint, rest bigint, " + ", ".join(f"{x} bigint" for x in order))
 
 
 def _cut(marked: DataFrame, length: int, keep: list[S.StructField], texts: bool, text: str) -> DataFrame:
@@ -205,7 +205,7 @@ def _cut(marked: DataFrame, length: int, keep: list[S.StructField], texts: bool,
 
     more = [S.StructField("kept", S.StringType()), S.StructField("spans", S.ArrayType(S.ArrayType(S.LongType())))] if texts else []
     kind = S.StructType([*keep, S.StructField("n_words", S.LongType()), S.StructField("n_removed", S.LongType()), S.StructField("sha", S.StringType()), *more])
-    return marked.select("rows", "bad", "copies", "n_words", "own", "sha").mapInArrow(run, kind)
+    return marked.select("rows", "bad", "copies", "n_words", "own", "sha").mapInArrow(K.trimmed(run), kind)
 
 
 def _groups(sorted_):
@@ -229,7 +229,7 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id
     """
     if length < GRAM + 4:
         raise ValueError(f"length must be {GRAM + 4} or more")
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     src, inner, text = C.source(docs, keep, text, id=F.col(key).cast("bigint"))
     many = written(src.select("id").where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("many")), "many")
     src = src.withColumn("again", F.col("id").isNull()) if many.isEmpty() else src.join(many, F.col("id") == F.col("many"), "left").withColumn("again", F.col("id").isNull() | F.col("many").isNotNull()).drop("many")
@@ -254,7 +254,9 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id
         at = bad.join(where, [F.col(c) == F.col(f"my_{c}") for c in order]).select("chunk", "at", F.explode("starts").alias("start"))
         bads = written(_by_chunk(at, F.col("at"), F.col("start"), "bad"), "bad")
         every = t.join(bads.hint("shuffle_hash"), "chunk", "left").join(copies.hint("shuffle_hash"), "chunk", "left")
-        return written(_cut(every, length, inner, texts, text), "cut")
+        out = written(_cut(every, length, inner, texts, text), "cut")
+    sweep(since, out)
+    return out
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 20) -> DataFrame:
