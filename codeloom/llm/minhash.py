@@ -38,7 +38,7 @@ SYMBOLS, CHUNKS = 32, 8
 WIDTH = SYMBOLS // CHUNKS
 #: Symbols that a pair must share to be confirmed: one of similarity 0.8 has fewer with a probability of 3e-8.
 AGREE = 12
-SMALL_BUCKET = 32
+SMALL_BUCKET, FEW = 32, 8
 #: A block of a bucket holds about so many members, or so many bytes of text.
 BLOCK, BLOCK_BYTES = 512, 4_000_000
 _rng = np.random.default_rng(411)
@@ -266,18 +266,23 @@ def _linked(classes: DataFrame, texts_of, shingle: int, percent: int) -> DataFra
     buckets = written(keys.join(sizes, "key"), "buckets")
     # the hub is the member that meets most rows over all its buckets: of a star of copies, its centre
     met = buckets.groupBy("id").agg(F.sum("n").alias("met"))
-    hubs = written(buckets.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("no"))).alias("h")).select("key", (-F.col("h.no")).alias("hub")), "hubs")
+    hubs = written(buckets.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("no"))).alias("h")).select("key", (-F.col("h.no")).alias("hub"), F.col("h.met").alias("hub_met")), "hubs")
     sigs = classes.select("id", "sig")
     texts = written(texts_of(buckets.select("id").distinct()), "texts")
 
-    tried = buckets.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    # a row tries the hubs of its few-member buckets, and of the others the one that meets most
+    meets = buckets.join(hubs, "key").where("id <> hub")
+    few = meets.where(F.col("n") <= FEW).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    one = meets.where(F.col("n") > FEW).groupBy("id").agg(F.max(F.struct("hub_met", (-F.col("hub")).alias("no"))).alias("h")).select((-F.col("h.no")).alias("a"), F.col("id").alias("b"))
+    tried = few.union(one).distinct()
     edges = written(confirmed(tried, sigs, texts, shingle, percent), "links")
     comp = written(components(edges), "components")
 
     mixed = written(_mixed(buckets, comp, SMALL_BUCKET), "mixed")
     if not mixed.isEmpty():
         drawn = written(mixed.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("drawn")), "drawn")
-        more = mixed.join(drawn, "key").where("id <> drawn").select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct()
+        again = mixed.join(drawn, "key").where("id <> drawn").groupBy("id").agg(F.min_by("drawn", F.xxhash64("drawn", "id")).alias("drawn"))
+        more = again.select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct()
         edges = written(edges.union(confirmed(more, sigs, texts, shingle, percent)), "links")
         comp = written(components(edges), "components")
 
